@@ -1,0 +1,4 @@
+"""Queries over tensor views of the shared test tables."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
