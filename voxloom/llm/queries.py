@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxloom.llm.exact_dedup import exact_duplicates
+from voxloom.llm.language_id import identify_languages
+from voxloom.llm.packing import pack
 from voxloom.llm.sharding import assign_shards
 
 
@@ -14,6 +16,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file; the files stay where the installation has them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), window=1024)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -22,9 +35,15 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), [1.0] * 8)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixture_packing": op2_mixture_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_rendezvous_shards": op8_rendezvous_shards,
+    "op9_language_id": op9_language_id,
 }
 
 _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
