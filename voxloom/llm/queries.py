@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxloom.llm.exact_dedup import exact_duplicates
 from voxloom.llm.language_id import identify_languages
+from voxloom.llm.ngram_join import ngram_components
 from voxloom.llm.packing import pack
 from voxloom.llm.sharding import assign_shards
 
@@ -39,11 +40,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture_packing": op2_mixture_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_language_id": op9_language_id,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
