@@ -39,3 +39,46 @@ def jaccard_components(rows):
                     x, y = sorted((find(a), find(b)))
                     root[y] = x
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def sentence_units(text, limit=20):
+    """[(start, end of text up to the next unit, words)] of a text's sentences."""
+    out, n = [], 0
+    found = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+    for k, m in enumerate(found):
+        ended = k == 0 or "\n" in text[found[k - 1].end() : m.start()] or re.search(r"[.!?][\"')\]]?$", found[k - 1].group())
+        n = 0 if ended else n + 1
+        if n % limit == 0:
+            out.append([m.start(), None, []])
+        out[-1][2].append(m.group().translate(_LOWER))
+    for a, b in zip(out, [*out[1:], [len(text)]], strict=True):
+        a[1] = b[0]
+    return out
+
+
+def span_dedup(rows, least=3, words=30):
+    """{doc_id: (text, sentences removed)} for (doc_id, text) rows of distinct ids."""
+    units = {i: sentence_units(t or "") for i, t in rows}
+    places = {}
+    for i, u in units.items():
+        for a in range(len(u)):
+            for b in range(a + least - 1, len(u)):
+                run = tuple(w for x in u[a : b + 1] for w in x[2])
+                shortest_from = len(run) >= words and (b == a + least - 1 or len(run) - len(u[b][2]) < words)
+                shortest_to = len(run) >= words and (b == a + least - 1 or len(run) - len(u[a][2]) < words)
+                if shortest_from or shortest_to:
+                    places.setdefault(run, set()).add((i, a, b))
+                if len(run) >= 3 * words + 60:
+                    break
+    gone = {i: set() for i in units}
+    for found in places.values():
+        for i, a, b in sorted(found)[1:]:
+            gone[i].update(range(a, b + 1))
+    out = {}
+    for i, t in rows:
+        u = units[i]
+        if gone[i]:
+            out[i] = (t[: u[0][0]] + "".join(t[x[0] : x[1]] for k, x in enumerate(u) if k not in gone[i])).rstrip(), len(gone[i])
+        else:
+            out[i] = (t, 0)
+    return out

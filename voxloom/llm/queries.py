@@ -10,6 +10,7 @@ from voxloom.llm.exact_dedup import exact_duplicates
 from voxloom.llm.language_id import identify_languages
 from voxloom.llm.ngram_join import ngram_components
 from voxloom.llm.packing import pack
+from voxloom.llm.sentence_dedup import remove_repeated_spans
 from voxloom.llm.sharding import assign_shards
 
 
@@ -28,6 +29,10 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), window=1024)
 
 
+def op5_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -46,6 +51,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixture_packing": op2_mixture_packing,
+    "op5_sentence_span_dedup": op5_sentence_span_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_language_id": op9_language_id,
