@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from voxloom.llm.exact_dedup import exact_duplicates
+from voxloom.llm.html_extraction import extract_main_text
 from voxloom.llm.language_id import identify_languages
 from voxloom.llm.ngram_join import ngram_components
 from voxloom.llm.packing import pack
 from voxloom.llm.sentence_dedup import remove_repeated_spans
 from voxloom.llm.sharding import assign_shards
+from voxloom.llm.transport_stream import describe_media, store_texts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), window=1024)
 
@@ -33,6 +39,10 @@ def op5_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe_media(store_texts(_table(spark, sf_dir, "documents")))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -50,8 +60,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_style_tree": op1_site_style_tree,
     "op2_mixture_packing": op2_mixture_packing,
     "op5_sentence_span_dedup": op5_sentence_span_dedup,
+    "op6_transport_streams": op6_transport_streams,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_language_id": op9_language_id,
