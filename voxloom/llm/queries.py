@@ -11,8 +11,10 @@ from voxloom.llm.html_extraction import extract_main_text
 from voxloom.llm.language_id import identify_languages
 from voxloom.llm.ngram_join import ngram_components
 from voxloom.llm.packing import pack
+from voxloom.llm.piece_lattice import segment_nbest
 from voxloom.llm.sentence_dedup import remove_repeated_spans
 from voxloom.llm.sharding import assign_shards
+from voxloom.llm.tool_calls import REPLY_SCHEMA, conversation_calls, link_tool_calls
 from voxloom.llm.transport_stream import describe_media, store_texts
 
 
@@ -35,6 +37,15 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), window=1024)
 
 
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = link_tool_calls(*conversation_calls(_table(spark, sf_dir, "conversations")), REPLY_SCHEMA)
+    return found.withColumnRenamed("conv", "conv_id")
+
+
+def op4_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_nbest(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), n=4)
+
+
 def op5_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -62,6 +73,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_style_tree": op1_site_style_tree,
     "op2_mixture_packing": op2_mixture_packing,
+    "op3_tool_call_linking": op3_tool_call_linking,
+    "op4_piece_nbest": op4_piece_nbest,
     "op5_sentence_span_dedup": op5_sentence_span_dedup,
     "op6_transport_streams": op6_transport_streams,
     "op7_exact_dedup": op7_exact_dedup,
@@ -73,6 +86,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ASCII = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_tool_call_linking": """
+        WITH u AS (SELECT conv_id, turn, 'call-' || conv_id || '-' || turn AS call_id, text FROM conversations WHERE role = 'user'),
+             a AS (SELECT conv_id, turn, 'call-' || conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
+             j AS (SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.call_id, a.call_id) AS call_id, u.turn AS position,
+                          a.turn AS result_position, coalesce(u.turn, a.turn) AS level, u.text AS prompt, a.text AS content,
+                          CASE WHEN u.turn IS NULL THEN 'orphan' WHEN a.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+                          CASE WHEN u.text = '' THEN ['prompt: minLength'] ELSE [] :: VARCHAR[] END AS errors
+                   FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.call_id = a.call_id)
+        SELECT conv_id, call_id, position, result_position, level, status, errors,
+               '{"arguments":' || CASE WHEN position IS NULL THEN 'null' ELSE '{"prompt":' || to_json(prompt) || ',"turn":' || position || '}' END
+               || ',"call_id":' || to_json(call_id) || ',"errors":' || to_json(errors) || ',"level":' || level
+               || ',"name":' || CASE WHEN position IS NULL THEN 'null' ELSE '"reply"' END
+               || ',"result":' || coalesce(to_json(content), 'null') || ',"status":' || to_json(status) || '}' AS json
+        FROM j""",
     "op7_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({_ASCII}) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
