@@ -8,7 +8,7 @@ from voxloom.operators import intervals
 from voxloom.operators.tensor import TensorFrame
 from voxloom.sources import catalog
 from voxloom.sources.chunkstore import ChunkReader, delete_chunks, read_chunks, write_chunks
-from voxloom.sources.dataset import Dataset, default_block_size
+from voxloom.sources.dataset import Dataset, Shard, default_block_size
 from voxloom.sources.store import Container
 
 
@@ -45,7 +45,7 @@ def test_metadata_generations():
     assert Dataset.from_json(base) is None and Dataset.from_json([1]) is None
     assert Dataset.from_json(base | {"compressionType": "gzip"}).chain == [("gzip", {})]
     assert Dataset.from_json(base | {"compressionType": "gzip", "compression": {"type": "raw"}}).chain == []
-    full = Dataset((8, 8), (2, 2), "int16", [("gzip", {"level": 5})], shard=(4, 4), index_chain=[("crc32c", {})], order=(1, 0), default=3)
+    full = Dataset((8, 8), (2, 2), "int16", [("gzip", {"level": 5})], (Shard((4, 4), [("crc32c", {})]), Shard((8, 8), [], False, False)), order=(1, 0), default=3)
     assert Dataset.from_json(full.to_json()) == full
     assert default_block_size((70000,)) == (65536,) and default_block_size((600, 100)) == (512, 100) and default_block_size((99, 200, 300)) == (99, 128, 128)
 
@@ -83,11 +83,11 @@ def _chunks(spark, positions):
     return spark.createDataFrame(rows, "g0 long, g1 long, size array<int>, num_elements int, data array<int>")
 
 
-@pytest.mark.parametrize("shard", [None, (8, 8)])
+@pytest.mark.parametrize("shard", [(), (Shard((8, 8), [("crc32c", {})]),), (Shard((4, 4), [("crc32c", {})]), Shard((8, 8), index_at_end=False, index_little=False))])
 def test_store(spark, tmp_path, shard):
     uri = str(tmp_path / "box")
     box = Container(uri, create=True)
-    box.create_dataset("t", Dataset((24, 24), (2, 2), "int32", [("lz4", {})], shard=shard, index_chain=[("crc32c", {})] if shard else []))
+    box.create_dataset("t", Dataset((24, 24), (2, 2), "int32", [("lz4", {})], shard))
     places = [(0, 0), (0, 1), (1, 0), (1, 1), (4, 0), (5, 0), (11, 11)]
     write_chunks(_chunks(spark, places), uri, "t")
     read = lambda *w: sorted((r.g0, r.g1, list(r.data)) for r in read_chunks(spark, uri, "t", *w).collect())
@@ -151,3 +151,28 @@ def test_streams(spark, tmp_path):
     assert read_chunks(spark, uri, "t").count() == 2
     events = spark.createDataFrame([("2024-01-01 00:10:00", 1.0), ("2024-01-01 00:50:00", 2.0), ("2024-01-01 01:10:00", 4.0)], "ts string, v double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted(r.total for r in time_chunks(events, "ts", F.col("v"), "1 hour", late="10 minutes").collect()) == [3.0, 4.0]
+
+
+def test_http(spark, tmp_path):
+    import threading
+    from functools import partial
+    from http.server import SimpleHTTPRequestHandler, ThreadingHTTPServer
+
+    class Quiet(SimpleHTTPRequestHandler):
+        def log_message(self, *args):
+            pass
+
+    uri = str(tmp_path / "box")
+    Container(uri, create=True).create_dataset("t", Dataset((24, 24), (2, 2), "int32", shards=(Shard((8, 8)),)))
+    write_chunks(_chunks(spark, [(0, 0), (5, 0), (11, 11)]), uri, "t")
+    server = ThreadingHTTPServer(("127.0.0.1", 0), partial(Quiet, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        remote = f"http://127.0.0.1:{server.server_port}/box"
+        box = Container(remote)
+        assert box.list() == ["t"] and box.dataset("t") is not None and not box.exists("none")
+        assert sorted((r.g0, r.g1, list(r.data)) for r in read_chunks(spark, remote, "t").collect()) == sorted((r.g0, r.g1, list(r.data)) for r in read_chunks(spark, uri, "t").collect())
+        with pytest.raises(Exception):
+            box.set_attribute("t", "x", 1)
+    finally:
+        server.shutdown()

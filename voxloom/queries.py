@@ -19,7 +19,7 @@ from voxloom.plans.scratch import shared_folder
 from voxloom.sources import catalog
 from voxloom.sources.chunkstore import delete_chunks, read_chunks, write_chunks
 from voxloom.sources.codecs import Chain
-from voxloom.sources.dataset import Dataset
+from voxloom.sources.dataset import Dataset, Shard
 from voxloom.sources.store import Container
 from voxloom.streaming.chunks import time_chunks
 
@@ -445,9 +445,9 @@ def _stored(spark: SparkSession, chunks: DataFrame, dataset: Dataset, name: str)
     return folder
 
 
-def _one_d(spark: SparkSession, sf_dir: str, label: str, chain: Chain, name: str, **more: object) -> tuple[str, Dataset]:
+def _one_d(spark: SparkSession, sf_dir: str, label: str, chain: Chain, name: str, *shards: Shard) -> tuple[str, Dataset]:
     t = orders_1d(spark, sf_dir)
-    dataset = Dataset(t.dims, (1000,), label, chain, **more)  # type: ignore[arg-type]
+    dataset = Dataset(t.dims, (1000,), label, chain, shards)
     rows = t.chunks().select("g0", F.array(F.col("n").cast("int")).alias("size"), F.col("n").cast("int").alias("num_elements"), "data")
     return _stored(spark, rows, dataset, name), dataset
 
@@ -477,7 +477,7 @@ for _label, _chain in (("int64", []), ("uint32", [("gzip", {})]), ("int32", [("b
 @query(f"SELECT x0 :: BIGINT AS x0, x1, value FROM {EMBEDDING_CELLS}")
 def roundtrip_sharded_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = embeddings_2d(spark, sf_dir)
-    dataset = Dataset(t.dims, (16, 100), "float32", [("gzip", {})], shard=(32, 200), index_chain=[("crc32c", {})], order=(1, 0))
+    dataset = Dataset(t.dims, (16, 100), "float32", [("gzip", {})], (Shard((32, 200), [("crc32c", {})]),), order=(1, 0))
     height = F.least(F.lit(100), F.lit(t.dims[1]) - F.col("g1") * 100).cast("int")
     rows = t.chunks().select("g0", "g1", F.array(F.lit(16), height).alias("size"), F.col("n").cast("int").alias("num_elements"), "data")
     found = read_chunks(spark, _stored(spark, rows, dataset, "sharded"), "data")
@@ -487,18 +487,18 @@ def roundtrip_sharded_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS x0, o_custkey AS value FROM orders WHERE o_orderkey // 1000 BETWEEN 5 AND 9")
 def pruned_region_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, _ = _one_d(spark, sf_dir, "int64", [("gzip", {})], "pruned", shard=(4000,), index_at_end=False, index_little=False)
+    folder, _ = _one_d(spark, sf_dir, "int64", [("gzip", {})], "pruned", Shard((4000,), index_at_end=False, index_little=False))
     return _cells_1d(read_chunks(spark, folder, "data", Region((5100,), (4000,))))
 
 
 @query("""SELECT o_orderkey AS x0, CASE WHEN o_orderkey // 1000 % 5 = 1 THEN -o_custkey ELSE o_custkey END AS value FROM orders
-          WHERE o_orderkey // 1000 NOT IN (0, 1, 2, 3, 6)""")
+          WHERE o_orderkey // 1000 NOT IN (6, 8, 9, 10, 11, 12, 13, 14, 15)""")
 def store_overwrite_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, dataset = _one_d(spark, sf_dir, "int64", [("lz4", {})], "mutated", shard=(4000,), index_chain=[("crc32c", {})])
+    folder, dataset = _one_d(spark, sf_dir, "int64", [("lz4", {})], "mutated", Shard((2000,)), Shard((8000,), [("crc32c", {})], index_at_end=False))
     rows = read_chunks(spark, folder, "data").where("g0 % 5 = 1").withColumn("data", F.transform("data", lambda v: -v))
     write_chunks(rows, folder, "data")
-    delete_chunks(spark.createDataFrame([(0,), (1,), (2,), (3,), (6,), (777777,)], "g0 long"), folder, "data")
-    assert not Container(folder).block_exists("data", (0,))  # its last chunk is gone, and so is the shard
+    delete_chunks(spark.createDataFrame([(8,), (9,), (10,), (11,), (12,), (13,), (14,), (15,), (6,), (777777,)], "g0 long"), folder, "data")
+    assert not Container(folder).block_exists("data", (1,))  # its last chunk is gone, and so is the shard
     return _cells_1d(read_chunks(spark, folder, "data"))
 
 

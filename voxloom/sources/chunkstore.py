@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 from decimal import Decimal
 from itertools import product
+from math import prod
 from typing import Any
 
 import numpy as np
@@ -37,7 +38,7 @@ from voxloom.errors import StoreError
 from voxloom.functions.grid import Region
 from voxloom.sources import codecs
 from voxloom.sources.dataset import Dataset
-from voxloom.sources.store import Container, filesystem
+from voxloom.sources.store import Container, filesystem, replace_file
 from voxloom.types import ELEMENT_TYPES
 
 #: Stored blocks read by one task at most, and in one Arrow batch about so many elements.
@@ -77,6 +78,37 @@ def encode_chunk(block: codecs.Block, dataset: Dataset) -> bytes:
     return codecs.encode_block(block, dataset.data_type, dataset.chain)
 
 
+def children(ds: Dataset, level: int, key: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """Positions, on the level below, of what a shard holds, in the order of its index (dimension 0 fastest)."""
+    span = ds.grid.relative_size(level)
+    return [tuple(k * n + p for k, n, p in zip(key, span, reversed(spot), strict=True)) for spot in product(*(range(n) for n in reversed(span)))]
+
+
+def decode_stored(data: bytes, ds: Dataset, key: tuple[int, ...], level: int | None = None) -> dict[tuple[int, ...], bytes]:
+    """Coded chunks of a stored block by position."""
+    level = len(ds.shards) if level is None else level
+    if level == 0:
+        return {key: data}
+    shard, places = ds.shards[level - 1], children(ds, level, key)
+    out: dict[tuple[int, ...], bytes] = {}
+    for pos, part in zip(places, codecs.decode_shard(data, len(places), shard.index_chain, shard.index_at_end, shard.index_little), strict=True):
+        if part is not None:
+            out |= decode_stored(part, ds, pos, level - 1)
+    return out
+
+
+def encode_stored(chunks: dict[tuple[int, ...], bytes], ds: Dataset, key: tuple[int, ...], level: int | None = None) -> bytes | None:
+    """A stored block of coded chunks; None if it would be empty. Empty inner shards are left out."""
+    level = len(ds.shards) if level is None else level
+    if level == 0:
+        return chunks.get(key)
+    shard = ds.shards[level - 1]
+    parts = [encode_stored(chunks, ds, pos, level - 1) for pos in children(ds, level, key)]
+    if all(p is None for p in parts):
+        return None
+    return codecs.encode_shard(parts, shard.index_chain, shard.index_at_end, shard.index_little)
+
+
 class _Blocks(InputPartition):
     def __init__(self, keys: list[tuple[int, ...]]):
         self.keys = keys
@@ -141,24 +173,31 @@ class ChunkReader(DataSourceReader):
         return [_Blocks(keys[i : i + BLOCKS_PER_TASK]) for i in range(0, len(keys), BLOCKS_PER_TASK)] or [_Blocks([])]
 
     def _chunks(self, fs: pafs.FileSystem, path: str, key: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], codecs.Block]]:
-        ds = self.dataset
-        if ds.shard is None:
-            with fs.open_input_file(path) as f:
-                yield key, decode_chunk(f.read(), ds)
-            return
-        span = ds.grid.size_in_chunks(ds.grid.top)
         with fs.open_input_file(path) as f:
-            size, whole = ds.index_bytes(), f.size()
-            index = codecs.decode_index(f.read_at(size, whole - size if ds.index_at_end else 0), ds.index_chain, ds.index_little)
-            want = {}
-            for i, spot in enumerate(product(*(range(n) for n in reversed(span)))):
-                pos = tuple(k * n + p for k, n, p in zip(key, span, reversed(spot), strict=True))
-                if int(index[i, 0]) != codecs.ABSENT and all(self._wanted(d, p, p) for d, p in enumerate(pos)):
-                    want[pos] = (int(index[i, 0]), int(index[i, 1]))
-            have = [(off, f.read_at(n, off)) for off, n in codecs.coalesce(list(want.values()))]
+            if not self.dataset.shards:
+                yield key, decode_chunk(f.read(), self.dataset)
+                return
+            for pos, raw in self._in_shard(f, 0, f.size(), len(self.dataset.shards), key):
+                yield pos, decode_chunk(raw, self.dataset)
+
+    def _in_shard(self, f: pa.NativeFile, base: int, size: int, level: int, key: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], bytes]]:
+        """Wanted chunks of a shard that lies at ``base``: its index is read, then merged ranges of chunks."""
+        ds, shard = self.dataset, self.dataset.shards[level - 1]
+        head = ds.index_bytes(level)
+        index = codecs.decode_index(f.read_at(head, base + (size - head if shard.index_at_end else 0)), shard.index_chain, shard.index_little)
+        span = ds.grid.size_in_chunks(level - 1)
+        want = {}
+        for (off, n), pos in zip(index.tolist(), children(ds, level, key), strict=True):
+            if off != codecs.ABSENT and all(self._wanted(d, p * s, (p + 1) * s - 1) for d, (p, s) in enumerate(zip(pos, span, strict=True))):
+                want[pos] = (base + off, n)
+        if level > 1:
+            for pos, (off, n) in want.items():
+                yield from self._in_shard(f, off, n, level - 1, pos)
+            return
+        have = [(off, f.read_at(n, off)) for off, n in codecs.coalesce(list(want.values()))]
         for pos, (off, n) in want.items():
             start, data = next((a, b) for a, b in have if a <= off and off + n <= a + len(b))
-            yield pos, decode_chunk(data[off - start : off - start + n], ds)
+            yield pos, data[off - start : off - start + n]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         container = Container(self.uri)
@@ -211,19 +250,12 @@ class ChunkWriter(DataSourceWriter):
         moves: list[tuple[str, str | None]] = []
         for key, chunks in shards.items():
             path = container.block_path(self.group, key)
-            if ds.shard is None:
-                data = encode_chunk(chunks[key], ds)
-            else:
-                old: list[bytes | None] = [None] * ds.chunks_per_shard
-                if not self.overwrite and container.block_exists(self.group, key) and len(chunks) < ds.chunks_per_shard:
-                    with container.fs.open_input_file(path) as f:
-                        old = codecs.decode_shard(f.read(), ds.chunks_per_shard, ds.index_chain, ds.index_at_end, ds.index_little)
-                for pos, block in chunks.items():
-                    at, stride = 0, 1
-                    for p, s in zip(pos, span, strict=True):
-                        at, stride = at + p % s * stride, stride * s
-                    old[at] = encode_chunk(block, ds)
-                data = codecs.encode_shard(old, ds.index_chain, ds.index_at_end, ds.index_little)
+            old: dict[tuple[int, ...], bytes] = {}
+            if ds.shards and not self.overwrite and len(chunks) < prod(span) and container.block_exists(self.group, key):
+                with container.fs.open_input_file(path) as f:
+                    old = decode_stored(f.read(), ds, key)
+            data = encode_stored(old | {pos: encode_chunk(block, ds) for pos, block in chunks.items()}, ds, key)
+            assert data is not None
             temporary = f"{container.root}/.staged/{uuid.uuid4().hex}"
             container.fs.create_dir(f"{container.root}/.staged", recursive=True)
             with container.fs.open_output_stream(temporary) as f:
@@ -317,34 +349,23 @@ def delete_chunks(doomed: DataFrame, uri: str, group: str) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Container(uri)
-        found: dict[tuple[int, ...], set[int]] = {}
+        found: dict[tuple[int, ...], set[tuple[int, ...]]] = {}
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, stride = 0, 1
-                for p, s in zip(row, span, strict=True):
-                    at, stride = at + p % s * stride, stride * s
-                found.setdefault(tuple(p // s for p, s in zip(row, span, strict=True)), set()).add(at)
+                found.setdefault(tuple(p // s for p, s in zip(row, span, strict=True)), set()).add(row)
         done = 0
-        for key, places in found.items():
+        for key, gone in found.items():
             if not own.block_exists(group, key):
                 continue
-            if dataset.shard is None:
-                own.delete_block(group, key)
-                done += 1
-                continue
             path = own.block_path(group, key)
             with own.fs.open_input_file(path) as f:
-                chunks = codecs.decode_shard(f.read(), dataset.chunks_per_shard, dataset.index_chain, dataset.index_at_end, dataset.index_little)
-            hit = [i for i in places if chunks[i] is not None]
-            for i in hit:
-                chunks[i] = None
-            if hit and any(c is not None for c in chunks):
-                from voxloom.sources.store import replace_file
-
-                replace_file(own.fs, path, codecs.encode_shard(chunks, dataset.index_chain, dataset.index_at_end, dataset.index_little))
-            elif hit:
+                chunks = decode_stored(f.read(), dataset, key)
+            left = {pos: c for pos, c in chunks.items() if pos not in gone}
+            if not left:
                 own.delete_block(group, key)
-            done += len(hit)
+            elif len(left) < len(chunks):
+                replace_file(own.fs, path, encode_stored(left, dataset, key) or b"")
+            done += len(chunks) - len(left)
         yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
 
     doomed.select(*g).repartition(*keys).mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()

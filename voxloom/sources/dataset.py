@@ -21,16 +21,25 @@ def default_block_size(dims: tuple[int, ...]) -> tuple[int, ...]:
     return tuple(min(side, d) for d in dims)
 
 
+@dataclass(frozen=True)
+class Shard:
+    """One level of shards: their size in pixels, and how their index is stored."""
+
+    size: tuple[int, ...]
+    index_chain: Chain = field(default_factory=list)
+    index_at_end: bool = True
+    index_little: bool = True
+
+
 @dataclass(frozen=True)
 class Dataset:
+    """``shards`` are the levels of shards, from the one that holds chunks to the one that is stored."""
+
     dims: tuple[int, ...]
     chunk: tuple[int, ...]
     data_type: str
     chain: Chain = field(default_factory=list)
-    shard: tuple[int, ...] | None = None
-    index_chain: Chain = field(default_factory=list)
-    index_at_end: bool = True
-    index_little: bool = True
+    shards: tuple[Shard, ...] = ()
     order: tuple[int, ...] | None = None
     default: Any = None
 
@@ -41,19 +50,16 @@ class Dataset:
 
     @property
     def grid(self) -> NestedGrid:
-        sizes = (self.chunk,) if self.shard is None else (self.chunk, self.shard)
-        return NestedGrid(sizes, self.dims)
+        return NestedGrid((self.chunk, *(s.size for s in self.shards)), self.dims)
 
     @property
     def block(self) -> tuple[int, ...]:
-        return self.shard or self.chunk
-
-    @property
-    def chunks_per_shard(self) -> int:
-        return prod(self.grid.size_in_chunks(self.grid.top))
+        """Size of what is stored under one key."""
+        return self.shards[-1].size if self.shards else self.chunk
 
-    def index_bytes(self) -> int:
-        return index_size(self.chunks_per_shard, self.index_chain)
+    def index_bytes(self, level: int) -> int:
+        """Size of the index of a shard of a level, 1 for those that hold chunks."""
+        return index_size(prod(self.grid.relative_size(level)), self.shards[level - 1].index_chain)
 
     def to_json(self) -> dict[str, Any]:
         """The keys that any reader of the format knows, and ``codecs`` with what goes beyond them."""
@@ -62,13 +68,14 @@ class Dataset:
         extra: list[dict[str, Any]] = []
         if self.order:
             extra.append({"name": TRANSPOSE, "configuration": {"order": list(self.order)}})
-        if self.shard:
+        inside = [self.chunk, *(s.size for s in self.shards)]
+        for chunk, shard in reversed(list(zip(inside, self.shards))):
             conf = {
-                "chunk_shape": list(reversed(self.chunk)),
-                "shard_shape": list(reversed(self.shard)),
-                "index_location": "end" if self.index_at_end else "start",
-                "index_endian": "little" if self.index_little else "big",
-                "index_codecs": [{"name": n, "configuration": p} for n, p in self.index_chain],
+                "chunk_shape": list(reversed(chunk)),
+                "shard_shape": list(reversed(shard.size)),
+                "index_location": "end" if shard.index_at_end else "start",
+                "index_endian": "little" if shard.index_little else "big",
+                "index_codecs": [{"name": n, "configuration": p} for n, p in shard.index_chain],
             }
             extra.append({"name": SHARDED, "configuration": conf})
         if extra or len(self.chain) > 1:
@@ -86,19 +93,16 @@ class Dataset:
         if element_type(node["dataType"]) is None:
             return None
         chain: Chain = []
-        more: dict[str, Any] = {}
+        shards: list[Shard] = []
+        order: tuple[int, ...] | None = None
         if "codecs" in node:
             for c in node["codecs"]:
                 name, conf = c["name"], dict(c.get("configuration") or {})
                 if name == SHARDED:
-                    more = {
-                        "shard": tuple(reversed(conf["shard_shape"])),
-                        "index_at_end": conf.get("index_location", "end") == "end",
-                        "index_little": conf.get("index_endian", "little") == "little",
-                        "index_chain": [(x["name"], dict(x.get("configuration") or {})) for x in conf.get("index_codecs", [])],
-                    } | more
+                    index = [(x["name"], dict(x.get("configuration") or {})) for x in conf.get("index_codecs", [])]
+                    shards.insert(0, Shard(tuple(reversed(conf["shard_shape"])), index, conf.get("index_location", "end") == "end", conf.get("index_endian", "little") == "little"))
                 elif name == TRANSPOSE:
-                    more["order"] = tuple(conf["order"])
+                    order = tuple(conf["order"])
                 elif name != "raw":
                     chain.append((name, conf))
         elif isinstance(node.get("compression"), Mapping):
@@ -109,4 +113,4 @@ class Dataset:
             chain = [] if node["compressionType"] == "raw" else [(node["compressionType"], {})]
         else:
             return None
-        return Dataset(tuple(node["dimensions"]), tuple(node["blockSize"]), node["dataType"], chain, default=node.get("defaultValue"), **more)
+        return Dataset(tuple(node["dimensions"]), tuple(node["blockSize"]), node["dataType"], chain, tuple(shards), order, node.get("defaultValue"))

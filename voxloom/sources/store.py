@@ -20,6 +20,10 @@ ATTRIBUTES = "attributes.json"
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a location: a local path or any URI that Arrow's file systems read."""
+    if uri.startswith(("http://", "https://")):
+        from voxloom.sources.http import http_filesystem
+
+        return http_filesystem(uri)
     if "://" in uri or uri.startswith("file:"):
         return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri[5:])
     return pafs.LocalFileSystem(), posixpath.abspath(uri)
@@ -73,11 +77,11 @@ class Container:
         self.fs.create_dir(self._path(group), recursive=True)
 
     def list(self, group: str = "") -> list[str]:
-        """Names of the child groups, sorted."""
+        """Names of the child groups, sorted; names with a leading dot are the store's own."""
         if not self.group_exists(group):
             raise NoSuchKeyError(f"no group {group}")
         found = self.fs.get_file_info(pafs.FileSelector(self._path(group)))
-        return sorted(x.base_name for x in found if x.type == pafs.FileType.Directory)
+        return sorted(x.base_name for x in found if x.type == pafs.FileType.Directory and not x.base_name.startswith("."))
 
     def remove(self, group: str = "") -> bool:
         """Deletes a group and all below; true even if there is none."""
