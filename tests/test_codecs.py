@@ -51,6 +51,9 @@ def test_round_trip(label, chain):
 
 def test_text_and_objects():
     words = ["", "a", "üb"]
+    for few in ([], ["x"], ["", ""]):
+        back = codecs.decode_block(codecs.encode_block(Block((len(few),), few), "string", []), "string", []).data
+        assert back == few or (few == ["", ""] and back == [""])  # the form ends texts by NUL and can't tell empty ones at its end
     assert codecs.decode_block(codecs.encode_block(Block((3,), words), "string", [("gzip", {})]), "string", [("gzip", {})]).data == words
     block = codecs.decode_block(codecs.encode_block(Block(None, b"\x00x"), "object", []), "object", [])
     assert block.size is None and block.data == b"\x00x"
@@ -65,6 +68,8 @@ def test_raw_blocks():
         data = codecs.encode_raw_block(Block((2,), [1, 2]), "int32", [], little)
         assert codecs.decode_raw_block(data, "int32", [], (2,), little).data.tolist() == [1, 2]
     assert data == b"\0\0\0\1\0\0\0\2"
+    texts = codecs.encode_raw_block(Block((3,), ["a", "", "üb"]), "string", [])
+    assert texts.hex() == "03000000" + "0100000061" + "00000000" + "03000000c3bc62" and codecs.decode_raw_block(texts, "string", [], (3,)).data == ["a", "", "üb"]
 
 
 @pytest.mark.parametrize("at_end", [True, False])

@@ -83,7 +83,7 @@ def _chunks(spark, positions):
     return spark.createDataFrame(rows, "g0 long, g1 long, size array<int>, num_elements int, data array<int>")
 
 
-@pytest.mark.parametrize("shard", [(), (Shard((8, 8), [("crc32c", {})]),), (Shard((4, 4), [("crc32c", {})]), Shard((8, 8), index_at_end=False, index_little=False))])
+@pytest.mark.parametrize("shard", [(), (Shard((8, 8), [("crc32c", {})]),), (Shard((4, 4), [("crc32c", {})]), Shard((8, 8), index_at_end=False, index_little=True))])
 def test_store(spark, tmp_path, shard):
     uri = str(tmp_path / "box")
     box = Container(uri, create=True)
@@ -176,3 +176,18 @@ def test_http(spark, tmp_path):
             box.set_attribute("t", "x", 1)
     finally:
         server.shutdown()
+
+
+def test_texts_and_objects(spark, tmp_path):
+    uri = str(tmp_path / "box")
+    box = Container(uri, create=True)
+    box.create_dataset("s", Dataset((4,), (2,), "string", [("gzip", {})]))
+    box.create_dataset("o", Dataset((4,), (2,), "object"))
+    box.create_dataset("u", Dataset((4,), (2,), "uint64", [("lz4", {})]))
+    write_chunks(spark.createDataFrame([(0, [2], 2, ["a", "üb"]), (1, [2], 2, ["", "c"])], "g0 long, size array<int>, num_elements int, data array<string>"), uri, "s")
+    assert sorted((r.g0, r.data) for r in read_chunks(spark, uri, "s").collect()) == [(0, ["a", "üb"]), (1, ["", "c"])]
+    write_chunks(spark.createDataFrame([(1, None, 3, b"\x00xy")], "g0 long, size array<int>, num_elements int, data binary"), uri, "o")
+    assert [(r.g0, r.size, bytes(r.data)) for r in read_chunks(spark, uri, "o").collect()] == [(1, None, b"\x00xy")]
+    big = (1 << 64) - 1
+    write_chunks(spark.sql(f"select 0L as g0, array(2) as size, 2 as num_elements, array({big}BD, 7BD) as data"), uri, "u")
+    assert [int(v) for v in read_chunks(spark, uri, "u").first().data] == [big, 7]

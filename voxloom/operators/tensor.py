@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from math import prod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.grid import NestedGrid, Region, div, linear_index
@@ -117,6 +117,20 @@ class TensorFrame:
         dims = tuple(-(-n // f) for n, f in zip(self.dims, factors, strict=True))
         return TensorFrame(df, NestedGrid(self.grid.block_sizes, dims))
 
+    def nested_rank(self, positions: DataFrame, rank: str = "place") -> DataFrame:
+        """Distinct chunk positions g0.. numbered from 1 in nested order: stored block by stored block,
+        last dimension first. Chunks are ranked within their block, and blocks by how many came before,
+        so that only one row for each block meets in one task."""
+        g, k = self._names("g"), self._names("k")
+        pos = [F.col(c) for c in g]
+        rows = positions.select(*g).distinct().withColumns(dict(zip(k, self.grid.key(pos), strict=True)))
+        inner = [c for level in range(self.grid.top - 1, -1, -1) for c in reversed(self.grid.relative(pos, 0, level))] or [F.lit(0)]
+        placed = rows.withColumn("__in", F.row_number().over(Window.partitionBy(*k).orderBy(*inner)))
+        counts = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("__n"))
+        before = Window.orderBy(*reversed(k)).rowsBetween(Window.unboundedPreceding, -1)
+        bases = counts.select(*k, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+        return placed.join(bases, k).select(*g, (F.col("__base") + F.col("__in")).cast("long").alias(rank))
+
     def shard_coverage(self, requests: DataFrame) -> DataFrame:
         """For requested chunk positions g0..: k0.., requested (distinct chunks), chunks (those in the
         dataset) and covers, by stored block."""

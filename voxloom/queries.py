@@ -148,12 +148,8 @@ def covers_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH c AS (SELECT DISTINCT x0 // 16 AS g0, x1 // 100 AS g1 FROM {EMBEDDING_CELLS})
            SELECT g0, g1, row_number() OVER (ORDER BY g1 // 2, g0 // 2, g1 % 2, g0 % 2) AS place FROM c""")
 def nested_order_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     t = embeddings_2d(spark, sf_dir)
-    found = t.with_grid().select("g0", "g1").distinct()
-    order = Window.orderBy(*t.grid.order([F.col("g0"), F.col("g1")]))  # one row for each chunk, not for each cell
-    return found.select("g0", "g1", F.row_number().over(order).cast("long").alias("place"))
+    return t.nested_rank(t.with_grid().select("g0", "g1"))
 
 
 @query("""SELECT o_orderkey // 4000 AS s0, o_orderkey // 1000 AS c0, count(*) AS n, sum(o_custkey) :: BIGINT AS total, min(o_custkey) AS low, max(o_custkey) AS high
@@ -487,7 +483,7 @@ def roundtrip_sharded_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS x0, o_custkey AS value FROM orders WHERE o_orderkey // 1000 BETWEEN 5 AND 9")
 def pruned_region_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, _ = _one_d(spark, sf_dir, "int64", [("gzip", {})], "pruned", Shard((4000,), index_at_end=False, index_little=False))
+    folder, _ = _one_d(spark, sf_dir, "int64", [("gzip", {})], "pruned", Shard((4000,), index_at_end=False, index_little=True))
     return _cells_1d(read_chunks(spark, folder, "data", Region((5100,), (4000,))))
 
 

@@ -208,15 +208,16 @@ def _payload(data: Any, label: str, little: bool = False) -> bytes:
     if label == "object":
         return bytes(data)
     if label == "string":
-        return "\0".join(data).encode() + (b"\0" if len(data) else b"")
-    return np.asarray(data).astype(dtype(label, little)).tobytes()
+        return "\0".join(data).encode() + b"\0"
+    kind = dtype(label, little)
+    return (data.astype(kind) if isinstance(data, np.ndarray) else np.array(data, kind)).tobytes()
 
 
 def _elements(raw: bytes, label: str, little: bool = False) -> Any:
     if label == "object":
         return raw
     if label == "string":
-        return raw.decode().split("\0")[:-1] if raw.endswith(b"\0") else raw.decode().split("\0") if raw else []
+        return raw.decode().removesuffix("\0").split("\0") if raw.strip(b"\0") else [""] * (len(raw) - 1)
     return np.frombuffer(raw, dtype(label, little))
 
 
@@ -247,15 +248,33 @@ def decode_block(data: bytes, label: str, chain: Chain) -> Block:
     return Block(size, _elements(decode(data[at:], chain), label))
 
 
+def pack_strings(data: list[str]) -> bytes:
+    """Texts of raw blocks: their number, then each length and its bytes, numbers little-endian."""
+    coded = [x.encode() for x in data]
+    return struct.pack("<I", len(coded)) + b"".join(struct.pack("<I", len(x)) + x for x in coded)
+
+
+def unpack_strings(raw: bytes) -> list[str]:
+    out, at = [], 4
+    for _ in range(struct.unpack_from("<I", raw)[0]):
+        (n,) = struct.unpack_from("<I", raw, at)
+        if at + 4 + n > len(raw):
+            raise StoreError("a block of texts is cut short")
+        out.append(raw[at + 4 : at + 4 + n].decode())
+        at += 4 + n
+    return out
+
+
 def encode_raw_block(block: Block, label: str, chain: Chain, little: bool = False) -> bytes:
     """No header: elements in the chosen byte order; all blocks have the configured size."""
     if label == "object":
         raise StoreError("raw blocks hold no objects")
-    return encode(_payload(block.data, label, little), chain)
+    return encode(pack_strings(block.data) if label == "string" else _payload(block.data, label, little), chain)
 
 
 def decode_raw_block(data: bytes, label: str, chain: Chain, size: tuple[int, ...], little: bool = False) -> Block:
-    return Block(size, _elements(decode(data, chain), label, little))
+    raw = decode(data, chain)
+    return Block(size, unpack_strings(raw) if label == "string" else _elements(raw, label, little))
 
 
 def transpose_block(block: Block, order: tuple[int, ...], inverse: bool = False) -> Block:
@@ -276,7 +295,7 @@ def index_size(chunks: int, chain: Chain) -> int:
     return encoded_size(16 * chunks, chain)
 
 
-def encode_shard(chunks: list[bytes | None], index_chain: Chain, index_at_end: bool = True, little: bool = True) -> bytes:
+def encode_shard(chunks: list[bytes | None], index_chain: Chain, index_at_end: bool = True, little: bool = False) -> bytes:
     """Chunks in index order, absent ones skipped, with an index of (offset, size) for each."""
     head = 0 if index_at_end else index_size(len(chunks), index_chain)
     index, at = np.full((len(chunks), 2), ABSENT, np.uint64), head
@@ -289,12 +308,12 @@ def encode_shard(chunks: list[bytes | None], index_chain: Chain, index_at_end: b
     return body + coded if index_at_end else coded + body
 
 
-def decode_index(coded: bytes, index_chain: Chain, little: bool = True) -> np.ndarray:
+def decode_index(coded: bytes, index_chain: Chain, little: bool = False) -> np.ndarray:
     """(chunks, 2): offset and size, both ABSENT for a chunk that isn't there."""
     return np.frombuffer(decode(coded, index_chain), "<u8" if little else ">u8").reshape(-1, 2)
 
 
-def decode_shard(data: bytes, chunks: int, index_chain: Chain, index_at_end: bool = True, little: bool = True) -> list[bytes | None]:
+def decode_shard(data: bytes, chunks: int, index_chain: Chain, index_at_end: bool = True, little: bool = False) -> list[bytes | None]:
     size = index_size(chunks, index_chain)
     index = decode_index(data[len(data) - size :] if index_at_end else data[:size], index_chain, little)
     return [None if int(o) == ABSENT else data[int(o) : int(o) + int(n)] for o, n in index]

@@ -28,7 +28,7 @@ class Shard:
     size: tuple[int, ...]
     index_chain: Chain = field(default_factory=list)
     index_at_end: bool = True
-    index_little: bool = True
+    index_little: bool = False
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ class Dataset:
                 name, conf = c["name"], dict(c.get("configuration") or {})
                 if name == SHARDED:
                     index = [(x["name"], dict(x.get("configuration") or {})) for x in conf.get("index_codecs", [])]
-                    shards.insert(0, Shard(tuple(reversed(conf["shard_shape"])), index, conf.get("index_location", "end") == "end", conf.get("index_endian", "little") == "little"))
+                    shards.insert(0, Shard(tuple(reversed(conf["shard_shape"])), index, conf.get("index_location", "end") == "end", conf.get("index_endian", "big") == "little"))
                 elif name == TRANSPOSE:
                     order = tuple(conf["order"])
                 elif name != "raw":
