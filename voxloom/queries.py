@@ -21,6 +21,7 @@ from voxloom.sources.chunkstore import delete_chunks, read_chunks, write_chunks
 from voxloom.sources.codecs import Chain
 from voxloom.sources.dataset import Dataset, Shard
 from voxloom.sources.store import Container
+from voxloom.sources.tensors import open_tensor, update_region, write_cells
 from voxloom.streaming.chunks import time_chunks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -498,6 +499,30 @@ def store_overwrite_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells_1d(read_chunks(spark, folder, "data"))
 
 
+@query("""WITH c AS (SELECT l_linenumber - 1 AS x0, l_orderkey AS x1, sum(l_quantity) :: BIGINT AS v FROM lineitem GROUP BY 1, 2),
+               m AS (SELECT max(l_orderkey) + 1 AS d1 FROM lineitem),
+               p AS (SELECT DISTINCT (x0 // 2) :: BIGINT AS g0, x1 // 1000 AS g1 FROM c),
+               s AS (SELECT g0 * 2 + unnest([0, 1]) AS x0, g1 FROM p),
+               t AS (SELECT x0, g1 * 1000 + unnest(range(1000)) AS x1 FROM s)
+          SELECT t.x0, t.x1, coalesce(v, 0) AS value FROM t LEFT JOIN c ON c.x0 = t.x0 AND c.x1 = t.x1, m
+          WHERE t.x0 BETWEEN 1 AND 6 AND t.x1 BETWEEN 2500 AND 5499 AND t.x1 < d1""")
+def stored_region_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lineitem_2d(spark, sf_dir)
+    folder = shared_folder(spark, "cells")
+    Container(folder, create=True).create_dataset("data", Dataset(t.dims, (2, 1000), "int64", [("gzip", {})], (Shard((4, 4000)),)))
+    write_cells(t, folder, "data")
+    return open_tensor(spark, folder, "data", Region((1, 2500), (6, 3000))).df
+
+
+@query("""SELECT o_orderkey AS x0, CASE WHEN o_orderkey // 1000 BETWEEN 2 AND 8 THEN o_custkey + 1 ELSE o_custkey END AS value FROM orders
+          WHERE o_orderkey // 1000 NOT IN (3, 6)""")
+def store_update_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, _ = _one_d(spark, sf_dir, "int64", [("gzip", {})], "updated", Shard((4000,)))
+    # every third chunk of the region goes, the others gain one; chunks that aren't there stay absent
+    update_region(spark, folder, "data", Region((2500,), (6000,)), lambda pos, old: F.when(pos[0] % 3 != 0, F.transform(old, lambda v: v + 1)))
+    return _cells_1d(read_chunks(spark, folder, "data"))
+
+
 @query("SELECT c_mktsegment AS path, NULL :: VARCHAR AS parent, 1 :: INTEGER AS depth, count(*) AS n FROM customer GROUP BY 1")
 def container_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A container with a group for each market segment, its attributes read back as a table."""
