@@ -97,6 +97,12 @@ def test_ranges():
     assert codecs.coalesce([(3, 2), (0, 2), (5, 1)]) == [(0, 2), (3, 3)]
 
 
+def test_read_plans():
+    wanted = [(10, 5), (0, 2), (2, 3)]
+    assert codecs.plan_reads(wanted) == [(0, 5), (10, 5)] and codecs.plan_reads(wanted, "enclosing") == [(0, 15)]
+    assert codecs.plan_reads(wanted, "none") == [(0, 2), (2, 3), (10, 5)] and codecs.plan_reads([], "enclosing") == []
+
+
 def test_registry_and_sizes():
     codecs.register_codec("flip", lambda d, p: bytes(b ^ p["mask"] for b in d), lambda d, p: bytes(b ^ p["mask"] for b in d), growth=0, mask=255)
     assert codecs.decode(codecs.encode(b"ab", [("flip", {}), ("gzip", {})]), [("flip", {}), ("gzip", {})]) == b"ab"

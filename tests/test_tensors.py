@@ -7,9 +7,10 @@ from voxloom.functions.grid import NestedGrid, Region
 from voxloom.operators import intervals
 from voxloom.operators.tensor import TensorFrame
 from voxloom.sources import catalog
-from voxloom.sources.chunkstore import ChunkReader, delete_chunks, read_chunks, write_chunks
+from voxloom.sources.chunkstore import ChunkReader, delete_chunks, encode_chunk, encode_stored, read_chunks, write_chunks
+from voxloom.sources.codecs import Block
 from voxloom.sources.dataset import Dataset, Shard, default_block_size
-from voxloom.sources.store import Container
+from voxloom.sources.store import Container, replace_file
 
 
 @pytest.mark.parametrize("sizes", [((0,),), ((-1,),), ((2,), (3, 3)), ((4,), (2,)), ((2,), (3,)), ()])
@@ -119,6 +120,30 @@ def test_filters_prune_stored_blocks(tmp_path):
     assert list(reader.pushFilters([EqualTo(("g0",), 3)])) == [] and reader.stored_keys() == [(3,)]
 
 
+def test_four_chunks_of_a_shard_take_two_reads(tmp_path):
+    uri = str(tmp_path / "box")
+    box = Container(uri, create=True)
+    ds = Dataset((24, 24), (2, 2), "uint8", shards=(Shard((8, 8)),))
+    box.create_dataset("t", ds)
+    chunks = {(x, y): encode_chunk(Block((2, 2), np.full(4, x + y)), ds) for x in range(2) for y in range(2)}
+    replace_file(box.fs, box.block_path("t", (0, 0)), encode_stored(chunks, ds, (0, 0)))
+    assert box.fs.get_file_info(box.block_path("t", (0, 0))).size == 16 * 16 + 4 * (12 + 4)
+    reads = []
+
+    class Counted:
+        def __init__(self, data):
+            self.data = data
+
+        def read_at(self, n, at):
+            reads.append((at, n))
+            return self.data[at : at + n]
+
+    with box.fs.open_input_file(box.block_path("t", (0, 0))) as f:
+        data = f.read()
+    found = dict(ChunkReader(uri, "t", ds)._in_shard(Counted(data), 0, len(data), 1, (0, 0)))
+    assert found == chunks and len(reads) == 2
+
+
 def test_catalog(spark, tmp_path):
     box = Container(str(tmp_path / "box"), create=True)
     for g in ("t/group/a", "t/group/b", "t/group/c"):

@@ -115,8 +115,8 @@ class _Blocks(InputPartition):
 
 
 class ChunkReader(DataSourceReader):
-    def __init__(self, uri: str, group: str, dataset: Dataset):
-        self.uri, self.group, self.dataset = uri, group, dataset
+    def __init__(self, uri: str, group: str, dataset: Dataset, prefetch: str = "aggregate"):
+        self.uri, self.group, self.dataset, self.prefetch = uri, group, dataset, prefetch
         # bounds of each position column, set by filters
         self.bounds: list[list[float]] = [[0, float("inf")] for _ in dataset.dims]
         self.choices: list[set[int] | None] = [None] * len(dataset.dims)
@@ -194,7 +194,7 @@ class ChunkReader(DataSourceReader):
             for pos, (off, n) in want.items():
                 yield from self._in_shard(f, off, n, level - 1, pos)
             return
-        have = [(off, f.read_at(n, off)) for off, n in codecs.coalesce(list(want.values()))]
+        have = [(off, f.read_at(n, off)) for off, n in codecs.plan_reads(list(want.values()), self.prefetch)]
         for pos, (off, n) in want.items():
             start, data = next((a, b) for a, b in have if a <= off and off + n <= a + len(b))
             yield pos, data[off - start : off - start + n]
@@ -285,7 +285,7 @@ class ChunkWriter(DataSourceWriter):
 
 
 class ChunkStore(DataSource):
-    """Options: path (the container) and group (the dataset in it)."""
+    """Options: path (the container), group (the dataset in it), and prefetch (how ranges of a shard are joined)."""
 
     @classmethod
     def name(cls) -> str:
@@ -301,7 +301,7 @@ class ChunkStore(DataSource):
         return chunk_schema(self._dataset())
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return ChunkReader(self.options["path"], self.options.get("group", ""), self._dataset())
+        return ChunkReader(self.options["path"], self.options.get("group", ""), self._dataset(), self.options.get("prefetch", "aggregate"))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
         return ChunkWriter(self.options["path"], self.options.get("group", ""), self._dataset(), schema, overwrite)

@@ -330,6 +330,18 @@ def coalesce(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def plan_reads(ranges: list[tuple[int, int]], policy: str = "aggregate") -> list[tuple[int, int]]:
+    """Ranges to read for wanted ones: as they are ("none"), joined where they touch ("aggregate"), or one for all ("enclosing")."""
+    if policy == "none" or not ranges:
+        return sorted(set(ranges))
+    if policy == "aggregate":
+        return coalesce(ranges)
+    if policy == "enclosing":
+        low = min(off for off, _ in ranges)
+        return [(low, max(off + n for off, n in ranges) - low)]
+    raise ValueError(f"no prefetch policy {policy}")
+
+
 def float_bits(value: float, wide: bool = True) -> str:
     """The bit pattern of a number as ``0x`` and hex digits."""
     return "0x" + struct.pack(">d" if wide else ">f", value).hex()
