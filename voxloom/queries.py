@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.functions import attrs, listing, uri, versions
+from voxloom.functions import attrs, listing, paths, uri, versions
 from voxloom.functions.grid import NestedGrid, Region, concatenate_permutations, conjugate_with_reverse, invert_permutation, is_identity, is_reversal, linear_index, num_elements
 from voxloom.operators import intervals, merge
 from voxloom.operators.tensor import TensorFrame
@@ -355,6 +355,14 @@ def attr_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT event_id, [event_id, user_id, 7] AS longs, [7, user_id, event_id] AS reversed, 'long' AS kind, [value :: DOUBLE, 0.5] AS doubles FROM events""")
+def attr_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    e = e.select("event_id", F.to_json(F.struct(F.array("event_id", "user_id", F.lit(7)).alias("l"), F.array("value", F.lit(0.5)).alias("d"))).alias("j"))
+    longs = attrs.get_column(F.col("j"), "l", "array<bigint>")
+    return e.select("event_id", longs.alias("longs"), F.reverse(longs).alias("reversed"), attrs.type_column(F.col("j"), "l[2]").alias("kind"), attrs.get_column(F.col("j"), "/d", "array<double>").alias("doubles"))
+
+
 @query("SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'type', event_type FROM events")
 def attr_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -389,6 +397,24 @@ def group_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", attrs.normalize_group_column(messy).alias("path"))
 
 
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?:/(/[^?#]*)', 1) AS path FROM pages)
+          SELECT page_id, list_prepend('/', list_filter(string_split(path, '/'), lambda x: x <> '')) AS parts, regexp_replace(rtrim(path, '/'), '/+[^/]*$', '') AS parent,
+                 list_aggregate(list_filter(string_split(path, '/'), lambda x: x <> '')[2:], 'string_agg', '/') AS inner_path, rtrim(path, '/') || '/0/1' AS block FROM p""")
+def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_extract("url", r"^https?:/(/[^?#]*)", 1)
+    p = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    host = F.concat(F.lit("/"), F.element_at(paths.components(F.col("path")), 2))
+    bare = F.regexp_replace("path", "/+$", "")
+    return p.select("page_id", paths.components(F.col("path")).alias("parts"), paths.parent(F.col("path")).alias("parent"), paths.relativize(bare, host).alias("inner_path"), paths.compose(F.col("path"), F.lit("0"), F.lit("1")).alias("block"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN off <= 3000 ELSE off + len <= 3000 END AS valid FROM (SELECT event_id, (floor(value * 10)) :: BIGINT AS off, 1 + event_id % 40 AS len FROM events)""")
+def valid_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _ranges(spark, sf_dir)
+    length = F.when(F.col("event_id") % 11 == 0, -1).otherwise(F.col("len"))
+    return r.select("event_id", paths.valid_bounds(F.col("off"), length, F.lit(3000)).alias("valid"))
+
+
 def _url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract("url", r"^https?://([^?#]*)", 1), "/+$", "")
     leaf = F.when(F.col("page_id") % 4 != 0, F.lit('{"dimensions":[1],"blockSize":[1],"dataType":"int8","compression":{"type":"raw"}}'))
