@@ -29,12 +29,13 @@ from voxloom.llm.textcols import mix64, shingle_sets, utf8
 
 #: Texts are cut into sets in slices of so many bytes; a flush holds about so many shingles.
 SLICE_BYTES = 4 << 20
-FLUSH_SHINGLES = 4 << 20
+FLUSH_SHINGLES = 2 << 20
 #: Shingles in a bucket of the count, on average.
 BUCKET_SHINGLES = 1 << 20
 #: Shingles that one set in so many has are known to all tasks; there are at most so many times the mean set size of them.
 HEAVY_SHARE = 1024
-PIVOT_ROUNDS = 3
+#: Rounds of stars, and the pivots of a list in each.
+PIVOT_ROUNDS = 4
 PIVOTS = 4
 
 
@@ -272,9 +273,11 @@ def _links(postings: DataFrame, sets: DataFrame) -> DataFrame | None:
     links: DataFrame | None = None
     known: DataFrame | None = None
     roots: DataFrame | None = None
-    lists = postings.withColumn("root", F.col("sid"))
+    lists = postings.withColumns({"root": F.col("sid"), "hub": F.lit(0.0)})
     for turn in range(PIVOT_ROUNDS):
-        pick = [F.min(F.struct(F.xxhash64("sid", F.lit(turn * PIVOTS + i)).alias("h"), "sid", "n", "rank", "root")).alias(f"p{i}") for i in range(PIVOTS)]
+        # pivots are sets that were similar to those they have met, the best one of each class of a hash
+        draw = F.xxhash64("sid", F.lit(turn))
+        pick = [F.max(F.struct(F.when(F.pmod(draw, F.lit(PIVOTS)) == i, F.col("hub")).alias("c"), draw.alias("h"), "sid", "n", "rank", "root")).alias(f"p{i}") for i in range(PIVOTS)]
         pivots = lists.groupBy("key").agg(*pick, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
         pivots = pivots.select("key", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"))
         pivots = pivots.select("key", F.col("p.sid").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.rank").alias("prank"), F.col("p.root").alias("proot"))
@@ -289,7 +292,10 @@ def _links(postings: DataFrame, sets: DataFrame) -> DataFrame | None:
         if found.isEmpty():
             break
         roots = components(links, "a", "b")
-        lists = stash(postings.join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "rank", F.coalesce("root", "sid").alias("root")), "lists")
+        similar = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+        hubs = known.select(F.explode(F.array("a", "b")).alias("s"), similar.alias("j")).groupBy("s").agg(F.avg("j").alias("hub"))
+        lists = postings.join(roots, F.col("sid") == F.col("node"), "left").join(hubs, F.col("sid") == F.col("s"), "left")
+        lists = stash(lists.select("key", "sid", "n", "rank", F.coalesce("root", "sid").alias("root"), F.coalesce("hub", F.lit(0.0)).alias("hub")), "lists")
     # the last sweep: per list, what isn't in its most frequent component meets all of the list
     salts = max(1, postings.count() // 100_000)
     salt = F.pmod(F.xxhash64("sid"), F.lit(salts)).alias("salt")
@@ -315,21 +321,28 @@ def _links(postings: DataFrame, sets: DataFrame) -> DataFrame | None:
 
 
 def derive(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) with ``linked`` where overlaps with a common pivot decide it, else null.
-
-    For a pivot z with known overlaps x of a and y of b, the overlap of a and b is at
-    least x + y - |z| and at most min(x, y) + min(|a| - x, |b| - y): the answers of a set
-    follow from those of a very similar one."""
-    both = known.select(F.col("a").alias("s"), F.col("b").alias("z"), F.col("nb").alias("nz"), "common")
-    both = both.union(known.select(F.col("b").alias("s"), F.col("a").alias("z"), F.col("na").alias("nz"), "common"))
-    one = both.select(F.col("s").alias("a"), "z", "nz", F.col("common").alias("x"))
-    two = both.select(F.col("s").alias("b"), "z", F.col("common").alias("y"))
-    met = pairs.join(one, "a").join(two, ["b", "z"])
-    met = met.withColumn("most", F.least("x", "y") + F.least(F.col("na") - F.col("x"), F.col("nb") - F.col("y"))).withColumn("least", F.col("x") + F.col("y") - F.col("nz"))
-    bounds = met.groupBy("a", "b").agg(F.min("most").alias("most"), F.max("least").alias("least"))
-    need = F.ceil(80 * (F.col("na") + F.col("nb")) / 180)
-    linked = F.when(F.col("least") >= need, True).when(F.col("most") < need, False)
-    return pairs.join(bounds, ["a", "b"], "left").select("a", "b", "na", "nb", linked.alias("linked"))
+    """Pairs (a, b, na, nb) with ``linked`` where known overlaps decide it, else null.
+
+    The home of a set is the pivot most similar to it. For the home z of a, with known
+    overlaps x of a and y of b, the overlap of a and b is at least x + y - |z| and at most
+    min(x, y) + min(|a| - x, |b| - y), and likewise for the home of b: the answers of a set
+    follow from those of a very similar one. Each step keeps one row a pair."""
+    both = known.select(F.col("a").alias("s"), F.col("na").alias("ns"), F.col("b").alias("z"), F.col("nb").alias("nz"), "common")
+    both = both.union(known.select(F.col("b").alias("s"), F.col("nb").alias("ns"), F.col("a").alias("z"), F.col("na").alias("nz"), "common"))
+    similar = F.col("common") / (F.col("ns") + F.col("nz") - F.col("common"))
+    homes = both.groupBy("s").agg(F.max(F.struct(similar.alias("j"), "z", "nz", "common")).alias("h"))
+    met = pairs
+    for me, other in (("a", "b"), ("b", "a")):
+        home = homes.select(F.col("s").alias(me), F.col("h.z").alias(f"z_{me}"), F.col("h.nz").alias(f"nz_{me}"), F.col("h.common").alias(f"x_{me}"))
+        beside = both.select(F.col("s").alias(other), F.col("z").alias(f"z_{me}"), F.col("common").alias(f"y_{me}"))
+        met = met.join(home, me, "left").join(beside, [other, f"z_{me}"], "left")
+    least = [F.col(f"x_{me}") + F.col(f"y_{me}") - F.col(f"nz_{me}") for me in "ab"]
+    most = [F.least(F.when(F.col(f"y_{me}").isNotNull(), F.col(f"x_{me}")), f"y_{me}") + F.least(F.col(f"n{me}") - F.col(f"x_{me}"), F.col(f"n{other}") - F.col(f"y_{me}")) for me, other in ("ab", "ba")]
+    need = 80 * (F.col("na") + F.col("nb"))
+    sure, never = F.lit(False), F.lit(False)
+    for low, high in zip(least, most, strict=True):
+        sure, never = sure | F.coalesce(180 * low >= need, F.lit(False)), never | F.coalesce(180 * high < need, F.lit(False))
+    return met.select("a", "b", "na", "nb", F.when(sure, True).when(never, False).alias("linked"))
 
 
 def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
