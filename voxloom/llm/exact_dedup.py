@@ -14,7 +14,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.llm.scratch import new_folder
+from voxloom.llm.scratch import new_folder, stash
 
 #: The filter has FILTER_PAGES bitmaps of 32,768 bits each (4 KB): 4 MB in all, whatever the input.
 FILTER_PAGES = 1024
@@ -108,10 +108,10 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     merged = index.compact()
     hits = merged.where("n > 1")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.sha2(text, 256).alias("digest"), text.alias("body"))
-    texts = index.may_hit(texts, index.hit_filter(hits))
+    texts = stash(index.may_hit(texts, index.hit_filter(hits)), "hit-texts")
     stays = texts.join(hits.select("digest", "id"), ["digest", "id"]).select("digest", F.col("body").alias("kept_body"))
     # rows repeated with the id that stays carry one body each; equal ones collapse before the comparison
-    stays = stays.groupBy("digest").agg(F.min("kept_body").alias("kept_body"))
+    stays = stash(stays.groupBy("digest").agg(F.min("kept_body").alias("kept_body")), "kept-texts")
     unequal = texts.join(stays, "digest").where(F.col("body") != F.col("kept_body")).select("digest", "id", F.lit(True).alias("unequal"))
     unequal = unequal.distinct()
     joined = index.runs().drop("n").join(merged.select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size")), "digest")
