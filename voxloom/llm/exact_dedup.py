@@ -113,7 +113,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # rows repeated with the id that stays carry one body each; equal ones collapse before the comparison
     stays = stash(stays.groupBy("digest").agg(F.min("kept_body").alias("kept_body")), "kept-texts")
     unequal = texts.join(stays, "digest").where(F.col("body") != F.col("kept_body")).select("digest", "id", F.lit(True).alias("unequal"))
-    unequal = unequal.distinct()
+    # written before it is made distinct: an aggregate on top would keep Spark from splitting a hot digest in the join
+    unequal = stash(unequal, "unequal-texts").distinct()
     joined = index.runs().drop("n").join(merged.select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size")), "digest")
     joined = joined.join(unequal, (joined["digest"] == unequal["digest"]) & joined["id"].eqNullSafe(unequal["id"]), "left").drop(unequal["digest"], unequal["id"])
     alone = F.col("unequal").isNotNull()
