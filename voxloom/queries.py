@@ -338,9 +338,6 @@ def attr_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", attrs.get_column(p, "k", "bigint").alias("k"), attrs.get_column(p, "/k").alias("k_text"), attrs.get_column(p, "k/missing").alias("missing"))
 
 
-NESTED = """('{"a":{"b":[' || event_id || ',' || CASE WHEN event_id % 2 = 0 THEN value :: VARCHAR ELSE '"x"' END || ',true]},"s":"' || event_type || '","n":null}')"""
-
-
 @query("""SELECT event_id, event_id AS first, CASE WHEN event_id % 2 = 0 THEN CASE WHEN value = floor(value) THEN 'long' ELSE 'double' END ELSE 'string' END AS second_type,
                  'boolean' AS third_type, 'object' AS a_type, 'array' AS b_type, event_type AS s FROM events""")
 def attr_types(spark: SparkSession, sf_dir: str) -> DataFrame:
