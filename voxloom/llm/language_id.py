@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxloom.llm.textcols import _LOWER, mix64, utf8
+from voxloom.llm.textcols import LOWER, mix64, utf8
 
 #: Texts are scored in slices of about so many bytes, which bounds the memory of a task.
 SLICE_BYTES = 1 << 20
@@ -42,7 +42,7 @@ class Settings:
 def subword_buckets(data: np.ndarray, offsets: np.ndarray, order: int, buckets: int) -> np.ndarray:
     """For each byte, the bucket of the ``order`` bytes that start there; ``buckets`` where the row ends before."""
     n = len(data)
-    low = _LOWER[data].astype(np.uint64)
+    low = LOWER[data].astype(np.uint64)
     code = np.zeros(n, np.uint64)
     for i in range(order):
         code[: n - i] = (code[: n - i] << np.uint64(8)) | low[i:] if n > i else 0

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.llm.textcols import _BASE, mix64
+from voxloom.llm.textcols import BASE, mix64
 
 SPACE = 0x2581  # the mark that stands for a space in pieces
 #: A character that no piece has costs so much more than the worst ordinary piece, and becomes its UTF-8 bytes.
@@ -32,8 +32,8 @@ _LONG = 64
 
 def _range_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of ranges of an array of code points."""
-    up = np.full(len(codes) + 1, _BASE, np.uint64)
-    down = np.full(len(codes) + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
+    up = np.full(len(codes) + 1, BASE, np.uint64)
+    down = np.full(len(codes) + 1, np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)
     up[0] = down[0] = 1
     np.multiply.accumulate(up, out=up)
     np.multiply.accumulate(down, out=down)
@@ -103,7 +103,7 @@ class PieceModel:
         for i, name in zip(own.tolist(), names, strict=True):
             key = 0
             for k, c in enumerate(name, 1):
-                key = (key * int(_BASE) + ord(c) + 1) & ((1 << 64) - 1)
+                key = (key * int(BASE) + ord(c) + 1) & ((1 << 64) - 1)
                 if k == len(name):
                     prefixes[key] = i
                 else:
@@ -140,7 +140,7 @@ class Lattice:
         at, key = np.arange(length * n), np.zeros(length * n, np.uint64)
         for k in range(min(model.longest, length)):
             inside = at < (length - k) * n
-            at, key = at[inside], key[inside] * _BASE + flat[at[inside] + k * n]
+            at, key = at[inside], key[inside] * BASE + flat[at[inside] + k * n]
             found = model.lookup.find(mix64(key))
             begins = found >= 0
             at, key, ids = at[begins], key[begins], model.prefix_ids[found[begins]]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.llm.scratch import stash
-from voxloom.llm.textcols import _BASE, mix64, utf8, word_hashes, words
+from voxloom.llm.textcols import BASE, mix64, utf8, word_hashes, words
 
 #: A run has at least so many sentences and words; a longer sentence counts as several, cut after so many words.
 RUN_SENTENCES = 3
@@ -73,10 +73,10 @@ def runs(column: pa.Array) -> tuple[np.ndarray, ...]:
     ok[ok] &= ahead[back[ok]] != unit[ok]
     a, b = np.append(a, back[ok]), np.append(b, unit[ok])
     hashes = word_hashes(data, start, end)
-    power = np.full(len(hashes) + 1, _BASE, np.uint64)
+    power = np.full(len(hashes) + 1, BASE, np.uint64)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
-    inverse = np.full(len(hashes) + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64)
+    inverse = np.full(len(hashes) + 1, np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)
     inverse[0] = 1
     np.multiply.accumulate(inverse, out=inverse)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1])])

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Fixed odd constants of the hash mixers (any odd 64-bit numbers do).
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 
@@ -27,11 +27,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * BASE)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,12 +72,12 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """64-bit hash of each byte range, letters A-Z lowered: a polynomial in an odd base, read off prefix sums."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    power = np.full(len(data) + 1, _BASE, np.uint64)
+    power = np.full(len(data) + 1, BASE, np.uint64)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data]] * power[:-1], out=total[1:])
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    np.cumsum(_BYTE[LOWER[data]] * power[:-1], out=total[1:])
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
     back = np.full(len(data) + 1, inverse, np.uint64)
     back[0] = 1
     np.multiply.accumulate(back, out=back)
@@ -91,7 +91,7 @@ def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     n = len(hashes) - length + 1
     out = np.zeros(n, np.uint64)
     for i in range(length):
-        out = out * _BASE + hashes[i : i + n]
+        out = out * BASE + hashes[i : i + n]
     return mix64(out)
 
 
