@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import DATA, same_rows
 from tests.llm import brute
-from voxloom.llm import queries
+from voxloom.llm import html_extraction, packing, queries
 from voxloom.llm.exact_dedup import DigestIndex, exact_duplicates
 from voxloom.llm.html_extraction import Page, extract_main_text, style_tree
 from voxloom.llm.language_id import Settings, held_out, identify_languages, train
@@ -78,7 +78,9 @@ def test_pages():
         assert Page(source, with_features=True).text() == text, source
 
 
-def test_style_tree_removes_what_all_pages_share(spark):
+@pytest.mark.parametrize("limit", [html_extraction.BROADCAST_BRANCHES, 0])
+def test_style_tree_removes_what_all_pages_share(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_extraction, "BROADCAST_BRANCHES", limit)
     rows = [(i, "http://h.org/%d" % i, f"<body><div class='top'><p>Always the same</p></div><div class='story'><p>Story number {i} {'x' * i}</p></div></body>") for i in range(30)]
     rows += [(100, "http://one.org/", "<div class='top'><p>Always the same</p></div>"), (101, None, None), (None, "", ""), (0, "http://h.org/0", rows[0][2])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in CLASH if c != "html"})
@@ -129,7 +131,9 @@ def test_packing(spark, odd, empty, texts):
     assert pack(empty, tok()).count() == 0
 
 
-def test_packing_keeps_proportions(spark):
+@pytest.mark.parametrize("limit", [packing.BROADCAST_ROWS, -1])
+def test_packing_keeps_proportions(spark, monkeypatch, limit):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", limit)
     rows = [(i, "token " * 300, "big" if i % 4 else "small") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
     pieces = pack(df, tok(), window=1024, quantum=128).collect()
@@ -146,6 +150,14 @@ def test_packing_keeps_proportions(spark):
         assert abs(total - 256 * (k + 1)) <= 128
 
 
+def test_packing_with_many_or_no_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 3)
+    df = spark.createDataFrame([(i, "some words " * i, f"s{i}") for i in range(12)], "doc_id long, text string, source string")
+    for pieces in (pack(df, tok(), window=64, quantum=8), pack(df.drop("source"), tok(), window=64, queue_col=None), pack(df, tok(), window=64, quantum=8, targets={"queue-0": 5.0})):
+        places = sorted((p.sequence_id * 64 + p.offset, p.length) for p in pieces.collect())
+        assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0 and sum(n for _, n in places) == 2 * 66 + 11 + 12
+
+
 def test_schedule_is_a_tiling():
     random.seed(3)
     for _ in range(50):
