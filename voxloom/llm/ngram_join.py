@@ -394,7 +394,8 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         grouped = reps.join(linked, F.col("s") == F.col("node"))
         least = grouped.groupBy("root").agg(F.min("rep").alias("low"))
         low = grouped.join(least, "root").select(F.col("node"), "low")
-        reps = reps.join(low, F.col("s") == F.col("node"), "left").select("s", F.coalesce("low", "rep").alias("rep"))
+        # written, so that both sides of the last join come from shuffles and a hot set can be split
+        reps = stash(reps.join(low, F.col("s") == F.col("node"), "left").select("s", F.coalesce("low", "rep").alias("rep")), "components")
     return texts.join(reps, F.col("sid") == F.col("s"), "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("rep")).alias("component_id")
     )
