@@ -96,6 +96,20 @@ def test_style_tree_removes_what_all_pages_share(spark, monkeypatch, limit):
     assert all(0 <= r.content <= 1 + 1e-9 for r in tree) and min(r.content for r in tree) < 0.1
 
 
+def test_articles_that_a_host_repeats(spark):
+    def page(i, article, tag="article"):
+        return i, f"http://h.org/{i}", f"<html><body class='b{i}'><div>Same line</div><p>Menu {i} {'y' * i}</p><{tag}>{article}</{tag.split()[0]}></body></html>"
+
+    for tag in ("article", "main", "div role=main", "div role=article"):
+        rows = [page(i, "<h2>Summary</h2><p>Not found</p>", tag) for i in range(38)] + [page(i, f"<h2>Summary</h2><p>Only {i}</p>", tag) for i in (38, 39)]
+        got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {i: "Summary\n" + ("Not found" if i < 38 else f"Only {i}") for i in range(40)}, tag
+    # a branch of low importance that holds an article, and the rest of it
+    rows = [(i, f"http://h.org/{i}", f"<p>Menu {i}</p><div><p>Same line</p><div role=main>Text {i // 39}</div></div>") for i in range(40)]
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {i // 39}" for i in range(40)}
+
+
 def test_pages_against_markup(spark):
     import html
 

@@ -53,6 +53,8 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search for
 #: An opening tag of the key ends an open element of the value.
 _P_ENDERS = BLOCK - {"body", "html", "option", "optgroup", "legend", "summary", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Why a branch is dropped: for its importance, or for what it is.
+NOISE, CHROME_ITSELF = 1, 2
 _SCOPES = frozenset("ul ol dl table tr tbody article main section div nav body".split())
 
 
@@ -80,7 +82,7 @@ class Page:
     def __init__(self, source: str, noise: frozenset[int] = frozenset(), with_features: bool = False):
         self.blocks: list[tuple[bool, str]] = []
         self.features: dict[int, list[int]] = {}
-        self._stack: list[list] = []  # name, path, chrome, article, children's hash, first chunk
+        self._stack: list[list] = []  # name, path, dropped for (NOISE, CHROME_ITSELF), article, children's hash, first chunk
         self._text: list[str] = []
         self._chunks: list[int] = []
         self._noise, self._with, self._has_article = noise, with_features, False
@@ -96,7 +98,7 @@ class Page:
         return bool(self._stack) and self._stack[-1][3]
 
     def _dropped(self) -> bool:
-        return bool(self._stack) and self._stack[-1][2]
+        return bool(self._stack) and self._stack[-1][2] != 0
 
     def _end_block(self) -> None:
         if self._text:
@@ -115,15 +117,21 @@ class Page:
 
     def _push(self, name: str, attrs: dict[str, str]) -> None:
         parent = self._stack[-1] if self._stack else None
-        if parent and parent[2] and name in ("article", "main") and parent[0] not in ("article", "main") and not any(s[3] for s in self._stack):
+        if parent and parent[2] & CHROME_ITSELF and name in ("article", "main") and parent[0] not in ("article", "main") and not any(s[3] for s in self._stack):
             # chrome that was never closed doesn't swallow the article
-            while self._stack and self._stack[-1][2]:
+            while self._stack and self._stack[-1][2] & CHROME_ITSELF:
                 self._pop()
             parent = self._stack[-1] if self._stack else None
         label = name + "." + attrs.get("class", "") + "#" + attrs.get("id", "")
         path = xxhash.xxh64_intdigest(label, parent[1] if parent else 0)
         article = (parent[3] if parent else False) or name in ("article", "main") or attrs.get("role") in ("main", "article")
-        chrome = (parent[2] if parent else False) or _is_chrome(name, attrs, parent[3] if parent else False) or path in self._noise
+        chrome = parent[2] if parent else 0
+        if _is_chrome(name, attrs, parent[3] if parent else False):
+            chrome |= CHROME_ITSELF
+        if article:  # what an article holds is content, however often the host repeats it
+            chrome &= ~NOISE
+        elif path in self._noise:
+            chrome |= NOISE
         if article and not chrome:
             self._has_article = True
         if parent:
@@ -234,8 +242,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     Blocks are joined by newlines in page order; white space inside one is a single space,
     a ``br`` too. A page with an ``article`` or ``main`` element gives what is inside these,
     any other its body. A branch is removed if its element is not content by name, class or
-    role, or if both its presentation and its content have a low importance on its host; a
-    branch that holds an article never goes for its importance.
+    role, or if both its presentation and its content have a low importance on its host; an
+    article, what is inside it and what holds it never go for their importance.
 
     A null or empty page has the empty text. Pages repeated in the table are extracted each,
     and count each for their host; pages without a host form one of their own. A null id or
