@@ -110,6 +110,22 @@ def test_articles_that_a_host_repeats(spark):
     assert got == {i: f"Text {i // 39}" for i in range(40)}
 
 
+def test_names_of_content():
+    long = "the text of this page " * 5
+    cases = {
+        "<article class='post comments-open'>a</article>": "a", "<div id='content' class='no-sidebar'>a</div>": "a", "<section id='related-work'>a</section><p>b": "a\nb",
+        "<div role='main' class='widget'>a</div><p>b": "a", "<article class='comment related'>a</article>b": "a",
+        f"<div class='page overlay'><div class='share'>s</div>{long}</div><p>b": f"{long}\nb", f"<article><div class='widget'>{long}</div></article><p>{long}": long,
+        f"<div class='overlay'><div class='widget'>{long}<div class='ad'>s</div></div></div><p>b": f"{long}\nb", f"<article><p>b</p><div id='comments'>{long}</div></article>": "b",
+        f"<p>{long}</p><div id='comments'><article class='comment-body'>c</article></div>": long, f"<div class='widget'><div role='main'>a</div>{long}</div>": "a",
+        "<p>some words</p><div class='post-comments'>a</div><div id='comment-list'>b</div><ul class='siteFooter-inner'><li>c</ul><a class='skip-to-content'>d</a><p class='x sidebar'>e</p><p class='ad-2'>f": "some words",
+        f"<nav>{long}</nav><p>a</p><div class='hasSidebar'>b</div>": "a\nb", "": "", "<div class='ad'></div>": "",
+    }
+    for source, text in cases.items():
+        for features in (False, True):
+            assert Page(source, with_features=features).text() == "\n".join(t.strip() for t in text.split("\n")), source
+
+
 def test_pages_against_markup(spark):
     import html
 

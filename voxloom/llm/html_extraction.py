@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +50,18 @@ CHROME_WORDS = frozenset(
     "sidebar footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription share sharing social related "
     "recommended recommendations comment comments disqus respond reply replies widget toolbar pagination pager login signup search skip".split()
 )
+#: Words of a compound name that only say which part of the chrome an element is, and words that make it say how a page looks.
+PART_WORDS = frozenset(
+    "area bar block body box bottom button buttons column container group icon icons inner item items left link links list outer panel posts right row section slot text "
+    "title top unit widget wrap wrapper x".split()
+)
+STATE_WORDS = frozenset("no not non has have with without is hide hides show shows enable enabled disable disabled".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
 #: An opening tag of the key ends an open element of the value.
 _P_ENDERS = BLOCK - {"body", "html", "option", "optgroup", "legend", "summary", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Why a branch is dropped: for its importance, or for what it is.
-NOISE, CHROME_ITSELF = 1, 2
+#: Why a branch is dropped: for its importance, for what it is, or only for its class or id.
+NOISE, CHROME_ITSELF, CHROME_NAMED = 1, 2, 4
 _SCOPES = frozenset("ul ol dl table tr tbody article main section div nav body".split())
 
 
@@ -65,14 +72,26 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+@lru_cache(1 << 14)
+def _names_chrome(names: str) -> bool:
+    """Whether one of the classes or ids is a word for chrome, or a compound that ends with one ("post-comments",
+    "comment-list"); "no-sidebar" and "comments-open" only tell how a page looks."""
+    for token in names.split():
+        found = [w.lower() for w in _WORD.findall(token)]
+        if found[:2] == ["skip", "to"]:
+            return True
+        while len(found) > 1 and (found[-1].isdigit() or found[-1] in PART_WORDS):
+            found.pop()
+        if found and found[-1] in CHROME_WORDS and STATE_WORDS.isdisjoint(found):
+            return True
+    return False
+
+
 def _is_chrome(name: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Whether an element is chrome by name, role or style."""
     if name in CHROME or (name == "header" and not in_article) or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
-    if attrs.get("role", "").lower() in CHROME_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    if name in ("body", "html", "main"):
-        return False
-    return any(w.lower() in CHROME_WORDS for w in _WORD.findall(attrs.get("class", "") + " " + attrs.get("id", "")))
+    return attrs.get("role", "").lower() in CHROME_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower()
 
 
 class Page:
@@ -80,17 +99,39 @@ class Page:
     {path: [presentation, content]}, with paths as 64-bit numbers."""
 
     def __init__(self, source: str, noise: frozenset[int] = frozenset(), with_features: bool = False):
+        self._noise, self._with = noise, with_features
+        self._kept: frozenset[int] = frozenset()
+        self._read(source)
+        self._kept = self._misnamed()
+        if self._kept:
+            self._read(source)
+
+    def _read(self, source: str) -> None:
         self.blocks: list[tuple[bool, str]] = []
         self.features: dict[int, list[int]] = {}
-        self._stack: list[list] = []  # name, path, dropped for (NOISE, CHROME_ITSELF), article, children's hash, first chunk
+        self._named: list[list[int]] = []  # of branches with a name of chrome: place, the one around, inside an article, characters
+        self._stack: list[list] = []  # name, path, dropped for (NOISE, CHROME_ITSELF, CHROME_NAMED), article, children's hash, first chunk, last label, branch of _named
         self._text: list[str] = []
         self._chunks: list[int] = []
-        self._noise, self._with, self._has_article = noise, with_features, False
+        self._has_article = False
         self._parse(source)
         while self._stack:
             self._pop()
         self._end_block()
 
+    def _misnamed(self) -> frozenset[int]:
+        """Places of the branches that hold most of the page's text, or of its articles' text if these are empty otherwise:
+        they are content, whatever their class."""
+        if self._has_article and any(inside for inside, _ in self.blocks):
+            return frozenset()
+        total = 0 if self._has_article else sum(len(t.replace(" ", "")) for _, t in self.blocks)
+        for _, around, inside, size in reversed(self._named):
+            if around >= 0:
+                self._named[around][3] += size
+            if inside if self._has_article else around < 0:
+                total += size if around < 0 or not self._named[around][2] else 0
+        return frozenset(place for place, _, inside, size in self._named if 2 * size > total and (inside or not self._has_article))
+
     def text(self) -> str:
         return "\n".join(t for inside, t in self.blocks if inside or not self._has_article)
 
@@ -114,20 +155,31 @@ class Page:
             if not self._text:
                 self._block_inside = self._inside()
             self._text.append(text)
+        elif self._stack[-1][2] == CHROME_NAMED:
+            self._named[self._stack[-1][7]][3] += len(_SPACE.sub("", html.unescape(text)))
 
-    def _push(self, name: str, attrs: dict[str, str]) -> None:
+    def _push(self, name: str, attrs: dict[str, str], place: int) -> None:
         parent = self._stack[-1] if self._stack else None
-        if parent and parent[2] & CHROME_ITSELF and name in ("article", "main") and parent[0] not in ("article", "main") and not any(s[3] for s in self._stack):
+        whole = name in ("body", "html", "main") or attrs.get("role") == "main"
+        named = not whole and _names_chrome(attrs.get("class", "") + " " + attrs.get("id", ""))
+        dropped = CHROME_ITSELF | CHROME_NAMED
+        if parent and parent[2] & dropped and not named and (name in ("article", "main") or attrs.get("role") == "main") and not any(s[3] for s in self._stack):
             # chrome that was never closed doesn't swallow the article
-            while self._stack and self._stack[-1][2] & CHROME_ITSELF:
+            while self._stack and self._stack[-1][2] & dropped:
                 self._pop()
             parent = self._stack[-1] if self._stack else None
         label = name + "." + attrs.get("class", "") + "#" + attrs.get("id", "")
         path = xxhash.xxh64_intdigest(label, parent[1] if parent else 0)
-        article = (parent[3] if parent else False) or name in ("article", "main") or attrs.get("role") in ("main", "article")
+        article_itself = name in ("article", "main") or attrs.get("role") in ("main", "article")
+        article = (parent[3] if parent else False) or article_itself
         chrome = parent[2] if parent else 0
         if _is_chrome(name, attrs, parent[3] if parent else False):
             chrome |= CHROME_ITSELF
+        branch = parent[7] if parent else -1
+        if named and not article_itself and place not in self._kept:
+            chrome |= CHROME_NAMED
+            self._named.append([place, branch, int(parent is not None and parent[3]), 0])
+            branch = len(self._named) - 1
         if article:  # what an article holds is content, however often the host repeats it
             chrome &= ~NOISE
         elif path in self._noise:
@@ -137,10 +189,10 @@ class Page:
         if parent:
             parent[4] = xxhash.xxh64_intdigest(label, parent[4]) if label != parent[6] else parent[4]
             parent[6] = label
-        self._stack.append([name, path, chrome, article, 0, len(self._chunks), ""])
+        self._stack.append([name, path, chrome, article, 0, len(self._chunks), "", branch])
 
     def _pop(self) -> None:
-        name, path, _, _, children, first, _ = self._stack.pop()
+        name, path, _, _, children, first, _, _ = self._stack.pop()
         if self._with and name in BLOCK:
             content = xxhash.xxh64_intdigest(np.array(self._chunks[first:], np.uint64).tobytes())
             seen = self.features.setdefault(path, [0, 0])
@@ -199,7 +251,7 @@ class Page:
                 self._close_until({"p"}, _SCOPES)
             if name in _ENDS:
                 self._close_until(_ENDS[name], _SCOPES - {"tr"} if name == "tr" else _SCOPES)
-            self._push(name, _attributes(m["attrs"]) if m["attrs"] else {})
+            self._push(name, _attributes(m["attrs"]) if m["attrs"] else {}, m.start())
 
 
 def host_of(url: Column) -> Column:
@@ -241,9 +293,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     Blocks are joined by newlines in page order; white space inside one is a single space,
     a ``br`` too. A page with an ``article`` or ``main`` element gives what is inside these,
-    any other its body. A branch is removed if its element is not content by name, class or
-    role, or if both its presentation and its content have a low importance on its host; an
-    article, what is inside it and what holds it never go for their importance.
+    any other its body. A branch is removed if its element is not content by name, role, class
+    or id, or if both its presentation and its content have a low importance on its host; an
+    article, what is inside it and what holds it never go for their importance. By class and id
+    neither an article goes, nor a branch with more than half of the text of a page without
+    articles, or of articles that would be empty otherwise.
 
     A null or empty page has the empty text. Pages repeated in the table are extracted each,
     and count each for their host; pages without a host form one of their own. A null id or
