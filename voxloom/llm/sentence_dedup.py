@@ -55,8 +55,9 @@ def runs(column: pa.Array) -> tuple[np.ndarray, ...]:
     """(row, first, last, hash) of all runs of sentences of a column of texts.
 
     From each sentence, the shortest run that begins with it and is long enough, and the
-    shortest one that ends with it: of a repeated passage, however it is embedded, every
-    sentence lies in a run that is inside the passage."""
+    shortest one that ends with it: of a repeated passage whose copies are cut alike, every
+    sentence lies in a run that is inside the passage. Copies that start mid-sentence, are
+    shifted within a long sentence or wrapped anew are cut differently and may share no run."""
     data, offsets = utf8(column)
     start, end, heads, first = sentences(data, offsets)
     n = len(heads)
