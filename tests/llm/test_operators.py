@@ -16,7 +16,7 @@ from tests.llm import brute
 from voxloom.llm import html_extraction, packing, queries
 from voxloom.llm.exact_dedup import DigestIndex, exact_duplicates
 from voxloom.llm.html_extraction import Page, extract_main_text, style_tree
-from voxloom.llm.language_id import Settings, held_out, identify_languages, train
+from voxloom.llm.language_id import Settings, held_out, identify_languages, train, train_on
 from voxloom.llm.ngram_join import derive, ngram_components
 from voxloom.llm.packing import Schedule, load_encoder, pack
 from voxloom.llm.piece_lattice import SPACE, decode_pieces, load_model, segment_nbest, segment_texts
@@ -422,6 +422,20 @@ def test_training_is_repeatable_and_bounded():
     assert train([], []) is None
 
 
+def test_rare_labels_and_long_texts_are_learned(spark):
+    rows = [(i, f"the cat {i} sat on the mat", "en") for i in range(3000)] + [(i, f"die Katze {i} sitzt auf der Matte", "de") for i in range(3000, 3030)]
+    rows += [(i, "12 " * 2000 + f"le chat {i} est assis sur le tapis " * 300, "fr") for i in range(3030, 3090)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    small = Settings(train_rows=300, train_bytes=2000, buckets=1 << 12)
+    model = train_on(docs, "doc_id", "text", "lang", F.lit(True), small)
+    assert model.labels == ["de", "en", "fr"]
+    texts = pa.array(["die Katze sitzt auf der Matte", "the cat sat on the mat", "le chat est assis sur le tapis"])
+    assert model.probabilities(texts).argmax(axis=1).tolist() == [0, 1, 2]
+    # long texts only
+    model = train_on(docs.where("lang = 'fr'"), "doc_id", "text", "lang", F.lit(True), small)
+    assert model.labels == ["fr"]
+
+
 def test_held_out_of_null(spark):
     assert spark.range(1).select(held_out(F.lit(None).cast("long"))).first()[0] is False
 

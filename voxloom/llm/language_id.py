@@ -19,6 +19,8 @@ from voxloom.llm.textcols import LOWER, mix64, utf8
 
 #: Texts are scored in slices of about so many bytes, which bounds the memory of a task.
 SLICE_BYTES = 1 << 20
+#: So many rows of each label are aimed at, however rare it is.
+LEAST_ROWS = 50
 UNKNOWN = "und"
 
 
@@ -111,6 +113,8 @@ def train(texts: list[str], langs: list[str], settings: Settings | None = None)
     order = random.permutation(len(texts))
     held = order[: int(len(order) * s.calibration_share)]
     fit = order[len(held) :]
+    lost = ~np.isin(target[held], target[fit])  # every label is learned
+    fit, held = np.append(fit, held[lost]), held[~lost]
     steps = s.epochs * len(fit)
     for step in range(steps):
         if step % len(fit) == 0:
@@ -142,19 +146,27 @@ def train(texts: list[str], langs: list[str], settings: Settings | None = None)
 def train_on(df: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column, settings: Settings | None = None) -> LanguageModel | None:
     """Trains on the rows that are ``usable`` and have a text and a label.
 
-    The sample is drawn by a hash of the id, so that it doesn't depend on partitions;
-    it is bounded by ``Settings.train_rows`` and ``Settings.train_bytes``."""
+    The sample is drawn by a hash of the id, so that it doesn't depend on partitions. All
+    labels are drawn at one rate that gives ``Settings.train_rows`` rows, but LEAST_ROWS of
+    each are aimed at (fewer if those of all labels exceed half of ``train_rows``; all rows
+    of a label that has no more). Of a text of over ``Settings.train_bytes``, so many bytes
+    from its first letter on are learned."""
     s = settings or Settings()
     text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
-    known = df.where(usable & lang.isNotNull())
-    total = known.count()
-    if not total:
+    known = df.where(usable & lang.isNotNull() & text.isNotNull() & text.rlike(r"\p{L}"))
+    sizes = {r["lang"]: r["count"] for r in known.groupBy(lang.alias("lang")).count().collect()}
+    if not sizes:
         return None
-    ceiling = min(1.0, s.train_rows / total)
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 40)) < F.lit(int(ceiling * (1 << 40)))
-    rows = known.where(drawn & text.isNotNull() & (F.octet_length(text) <= s.train_bytes) & text.rlike(r"\p{L}"))
-    rows = rows.select(F.col(id_col).alias("id"), text.alias("text"), lang.alias("lang")).limit(2 * s.train_rows).toArrow()
-    rows = sorted(zip(rows["id"].to_pylist(), rows["text"].to_pylist(), rows["lang"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+    least = max(1, min(LEAST_ROWS, s.train_rows // (2 * len(sizes))))
+    rate = s.train_rows / sum(sizes.values())
+    ceilings = [(label, int(min(1.0, max(rate, least / n)) * (1 << 40))) for label, n in sorted(sizes.items())]
+    ceilings = F.broadcast(df.sparkSession.createDataFrame(ceilings, "label string, ceiling long"))
+    drawn = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 40)) < F.col("ceiling")
+    rows = known.select(F.col(id_col).alias("id"), text.alias("text"), lang.alias("lang")).join(ceilings, F.col("lang") == F.col("label")).where(drawn)
+    excerpt = F.substring(F.regexp_replace("text", r"^\P{L}++", ""), 1, s.train_bytes)
+    rows = rows.select("id", F.when(F.octet_length("text") > s.train_bytes, excerpt).otherwise(F.col("text")).alias("text"), "lang").limit(2 * s.train_rows).toArrow()
+    texts = [t.encode("utf-8")[: s.train_bytes].decode("utf-8", "ignore") for t in rows["text"].to_pylist()]
+    rows = sorted(zip(rows["id"].to_pylist(), texts, rows["lang"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     return train([r[1] for r in rows], [r[2] for r in rows], s)
 
 
