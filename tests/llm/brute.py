@@ -1,5 +1,6 @@
 """Plain versions of operators, for small inputs."""
 
+import hashlib
 import re
 import string
 from itertools import combinations
@@ -41,34 +42,37 @@ def jaccard_components(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def sentence_units(text, limit=20):
-    """[(start, end of text up to the next unit, words)] of a text's sentences."""
-    out, n = [], 0
+def sentence_units(text, window=9):
+    """[(start, end of text up to the next unit, words)] of a text's sentences, long ones cut at the words of lowest key."""
     found = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+    low = [m.group().translate(_LOWER) for m in found]
+    keys = ["" if re.search(r"[.!?][\"')\]]?$", w) else hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:16] for w in low]
+    ends = {k for k, key in enumerate(keys) if not key}
+    for i in range(len(keys) - window + 1):
+        part = keys[i : i + window]
+        ends.update(i + k for k, key in enumerate(part) if key == min(part))
+    out = []
     for k, m in enumerate(found):
-        ended = k == 0 or "\n" in text[found[k - 1].end() : m.start()] or re.search(r"[.!?][\"')\]]?$", found[k - 1].group())
-        n = 0 if ended else n + 1
-        if n % limit == 0:
+        if k == 0 or k - 1 in ends:
             out.append([m.start(), None, []])
-        out[-1][2].append(m.group().translate(_LOWER))
+        out[-1][2].append(low[k])
     for a, b in zip(out, [*out[1:], [len(text)]], strict=True):
         a[1] = b[0]
     return out
 
 
-def span_dedup(rows, least=3, words=30):
+def span_dedup(rows, words=24):
     """{doc_id: (text, sentences removed)} for (doc_id, text) rows of distinct ids."""
     units = {i: sentence_units(t or "") for i, t in rows}
     places = {}
     for i, u in units.items():
         for a in range(len(u)):
-            for b in range(a + least - 1, len(u)):
-                run = tuple(w for x in u[a : b + 1] for w in x[2])
-                shortest_from = len(run) >= words and (b == a + least - 1 or len(run) - len(u[b][2]) < words)
-                shortest_to = len(run) >= words and (b == a + least - 1 or len(run) - len(u[a][2]) < words)
-                if shortest_from or shortest_to:
-                    places.setdefault(run, set()).add((i, a, b))
-                if len(run) >= 3 * words + 60:
+            run = []
+            for b in range(a, len(u)):
+                run += u[b][2]
+                if len(run) >= words and (len(run) - len(u[b][2]) < words or len(run) - len(u[a][2]) < words):
+                    places.setdefault(tuple(run), set()).add((i, a, b))
+                if len(run) - len(u[a][2]) >= words:
                     break
     gone = {i: set() for i in units}
     for found in places.values():
@@ -82,3 +86,18 @@ def span_dedup(rows, least=3, words=30):
         else:
             out[i] = (t, 0)
     return out
+
+
+def repeated_words(texts, size):
+    """{doc_id: for each word whether it lies in a sequence of ``size`` words that another text has too}."""
+    found = {i: [w for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(_LOWER))] for i, t in texts}
+    homes = {}
+    for i, w in found.items():
+        for k in range(len(w) - size + 1):
+            homes.setdefault(tuple(w[k : k + size]), set()).add(i)
+    out = {i: [False] * len(w) for i, w in found.items()}
+    for i, w in found.items():
+        for k in range(len(w) - size + 1):
+            if len(homes[tuple(w[k : k + size])]) > 1:
+                out[i][k : k + size] = [True] * size
+    return out

@@ -301,6 +301,39 @@ def test_embedded_passage(spark):
         assert got[i] == f"Own start {i} of the text. And own end {i}."
 
 
+def test_passages_however_they_are_cut(spark):
+    random.seed(11)
+
+    def text(n, stops=0.0, kind="own"):
+        return [f"{kind}{random.randrange(4000)}" + ("." if random.random() < stops else "") for _ in range(n)]
+
+    rows = []
+    for k in range(40):
+        passage = text(random.choice([51, 60, 90]), random.choice([0.0, 0.02, 0.1, 0.5]), "w")
+        for copy in range(3):  # in mid-sentence, with other words before it, and wrapped anew
+            around = text(random.randrange(0, 40)) + passage + text(random.randrange(0, 40))
+            gap = lambda: random.choice([" ", " ", "\n", "  "]) if copy else " "
+            rows.append((3 * k + copy, "".join(w + gap() for w in around)))
+    got = [(r.doc_id, r.text) for r in remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert not any(map(any, brute.repeated_words(got, 51).values()))
+    assert dict(got) == {i: t for i, (t, _) in brute.span_dedup(rows).items()}
+    for i, t in got:  # what surrounds the passages stays
+        assert [w for w in t.split() if w[0] == "o"] == [w for w in dict(rows)[i].split() if w[0] == "o"]
+
+
+def test_no_passage_of_51_words_stays(documents):
+    got = [(r.doc_id, r.text) for r in remove_repeated_spans(documents).collect()]
+    assert not any(map(any, brute.repeated_words(got, 51).values()))
+
+
+def test_span_dedup_with_clashing_columns(spark):
+    names = ["__hash", "__cut", "__id", "__spans", "run", "id", "body", "text.x", "n"]
+    passage = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(1, passage), (2, passage + " and more")], "doc_id long, text string").withColumns({c: F.lit("mine") for c in names})
+    got = {r["doc_id"]: r.asDict() for r in remove_repeated_spans(df).collect()}
+    assert got[1]["text"] == passage and got[2]["n_removed"] > 0 and all(got[i][c] == "mine" for i in (1, 2) for c in names)
+
+
 # 6 transport streams
 
 

@@ -110,17 +110,18 @@ ORACLE_SQL: dict[str, str] = {
     "op5_sentence_span_dedup": r"""
         WITH t AS (SELECT doc_id, text, regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*') AS lead,
                           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS tokens FROM documents),
-             v AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM t),
-             w AS (SELECT doc_id, i, token, translate(regexp_extract(token, '^[^\x20\x09-\x0D]+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word, contains(token, chr(10)) AS line FROM v),
-             o AS (SELECT *, i = 1 OR lag(line OR regexp_matches(word, '[.!?]["'')\]]?$')) OVER d AS opens FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-             p AS (SELECT *, sum(opens :: INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS sentence FROM o),
-             q AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, sentence ORDER BY i) - 1) % 20 = 0 AS head FROM p),
-             r AS (SELECT *, sum(head :: INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM q),
+             v AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i, len(tokens) AS n FROM t),
+             w AS (SELECT doc_id, i, n, token, translate(regexp_extract(token, '^[^\x20\x09-\x0D]+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM v),
+             k AS (SELECT *, CASE WHEN regexp_matches(word, '[.!?]["'')\]]?$') THEN '' ELSE substr(md5(word), 1, 16) END AS key FROM w),
+             m AS (SELECT *, CASE WHEN i <= n - 8 THEN min(key) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) END AS least FROM k),
+             o AS (SELECT *, key = '' OR coalesce(max(least) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) = key, false) AS ends FROM m),
+             p AS (SELECT *, i = 1 OR lag(ends) OVER (PARTITION BY doc_id ORDER BY i) AS head FROM o),
+             r AS (SELECT *, sum(head :: INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS unit FROM p),
              u AS (SELECT doc_id, unit, min(i) AS a, max(i) AS b, string_agg(token, '' ORDER BY i) AS raw FROM r GROUP BY 1, 2),
              words AS (SELECT doc_id, list(word ORDER BY i) AS words FROM w GROUP BY 1),
              spans AS (SELECT x.doc_id, x.unit AS first, y.unit AS last, x.a AS a, y.b AS b,
                               row_number() OVER (PARTITION BY x.doc_id, x.unit ORDER BY y.unit) AS ahead, row_number() OVER (PARTITION BY x.doc_id, y.unit ORDER BY x.unit DESC) AS back
-                       FROM u x JOIN u y ON x.doc_id = y.doc_id AND y.unit BETWEEN x.unit + 2 AND x.unit + 31 AND y.b - x.a >= 29),
+                       FROM u x JOIN u y ON x.doc_id = y.doc_id AND y.unit BETWEEN x.unit + 2 AND x.unit + 31 AND y.b - x.a >= 23),
              runs AS (SELECT s.doc_id, first, last, md5(list_aggregate(words[a : b], 'string_agg', ' ')) AS run FROM spans s JOIN words USING (doc_id) WHERE ahead = 1 OR back = 1),
              homes AS (SELECT run, min(struct_pack(d := doc_id, f := first)) AS home FROM runs GROUP BY 1 HAVING count(*) > 1),
              again AS (SELECT doc_id, first, last FROM runs JOIN homes USING (run) WHERE struct_pack(d := doc_id, f := first) <> home),

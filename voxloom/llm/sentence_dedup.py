@@ -1,10 +1,14 @@
 """Substring dedup: sliding spans of consecutive sentences.
 
 Every run of several consecutive sentences is hashed, the hashes are joined over all
-texts, and the sentences that any but the first occurrence of a run covers are removed."""
+texts, and the sentences that any but the first occurrence of a run covers are removed.
+Where sentences are long they are cut at words that a small window picks by their own
+hash, so that equal passages are cut alike whatever stands before and after them."""
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.llm.scratch import stash
-from voxloom.llm.textcols import BASE, mix64, utf8, word_hashes, words
+from voxloom.llm.textcols import BASE, LOWER, mix64, utf8, word_hashes, words
 
-#: A run has at least so many sentences and words; a longer sentence counts as several, cut after so many words.
-RUN_SENTENCES = 3
-RUN_WORDS = 30
-SENTENCE_WORDS = 20
+#: A run has at least so many words.
+RUN_WORDS = 24
+#: In every so many consecutive words there is a cut, so that a run has three sentences or more, and every
+#: passage of RUN_WORDS + 3 * CUT_WINDOW - 2 = 49 words holds a run that depends on the passage alone.
+CUT_WINDOW = 9
 SLICE_BYTES = 4 << 20
+#: Keys of words that a task remembers.
+_KNOWN_WORDS = 1 << 20
+_keys: dict[int, int] = {}
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -28,52 +36,82 @@ _CLOSING = np.zeros(256, bool)
 _CLOSING[[ord(c) for c in "\"')]"]] = True
 
 
+def _word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each word: the first half of the MD5 digest of its bytes, A-Z lowered."""
+    found, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    if len(_keys) > _KNOWN_WORDS:
+        _keys.clear()
+    out = np.empty(len(found), np.uint64)
+    low = LOWER[data]
+    for i, (h, a, b) in enumerate(zip(found.tolist(), start[at].tolist(), end[at].tolist(), strict=True)):
+        key = _keys.get(h)
+        if key is None:
+            key = _keys[h] = int.from_bytes(hashlib.md5(low[a:b].tobytes()).digest()[:8], "big")
+        out[i] = key
+    return out[which]
+
+
+def _sliding(x: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
+    """Minimum or maximum of each ``size`` consecutive values, in a few steps of doubled width."""
+    width = 1
+    while 2 * width <= size:
+        x = pick(x[:-width], x[width:])
+        width *= 2
+    return pick(x[: len(x) - (size - width)], x[size - width :]) if size > width else x
+
+
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(word starts, word ends, first word of each sentence, first sentence of each row).
+    """(word starts, word ends, first word of each sentence, first sentence of each row, word hashes).
 
     A sentence ends with a word that ends in ``.``, ``!`` or ``?`` (a closing quote or
-    bracket may follow), at the end of a line, or after SENTENCE_WORDS words."""
+    bracket may follow). Of every CUT_WINDOW consecutive words of a row without such a word,
+    those of the lowest key end one too."""
     start, end, first = words(data, offsets)
     n = len(start)
     if not n:
-        return start, end, np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return start, end, np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64)
+    hashes = word_hashes(data, start, end)
     last = data[end - 1]
     before = np.where(end - start > 1, data[np.maximum(end - 2, 0)], 0)
     stops = _STOP[last] | (_CLOSING[last] & _STOP[before])
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
-    stops[:-1] |= lines[start[1:]] > lines[end[:-1]]
+    keys = _word_keys(data, start, end, hashes)
+    keys[stops] = 0
+    if n >= CUT_WINDOW:
+        least = _sliding(keys, CUT_WINDOW, np.minimum)
+        # windows that reach into the next row count for nothing
+        row_end = np.repeat(first[1:], np.diff(first))
+        least[np.arange(len(least)) + CUT_WINDOW > row_end[: len(least)]] = 0
+        around = np.concatenate([np.zeros(CUT_WINDOW - 1, np.uint64), least, np.zeros(CUT_WINDOW - 1, np.uint64)])
+        stops |= (_sliding(around, CUT_WINDOW, np.maximum) == keys) & (keys > 0)
     opens = np.zeros(n, bool)
     opens[1:] = stops[:-1]
     opens[first[:-1][first[:-1] < n]] = True
-    at = np.arange(n)
-    since = at - np.maximum.accumulate(np.where(opens, at, 0))
-    heads = np.flatnonzero(since % SENTENCE_WORDS == 0)
-    return start, end, heads, np.searchsorted(heads, first)
+    heads = np.flatnonzero(opens)
+    return start, end, heads, np.searchsorted(heads, first), hashes
 
 
 def runs(column: pa.Array) -> tuple[np.ndarray, ...]:
     """(row, first, last, hash) of all runs of sentences of a column of texts.
 
     From each sentence, the shortest run that begins with it and is long enough, and the
-    shortest one that ends with it: of a repeated passage whose copies are cut alike, every
-    sentence lies in a run that is inside the passage. Copies that start mid-sentence, are
-    shifted within a long sentence or wrapped anew are cut differently and may share no run."""
+    shortest one that ends with it. Of a repeated passage all sentences lie in such runs
+    but for those within CUT_WINDOW words of its start and twice as many of its end, whose
+    cuts may depend on what surrounds the passage."""
     data, offsets = utf8(column)
-    start, end, heads, first = sentences(data, offsets)
+    start, end, heads, first, hashes = sentences(data, offsets)
     n = len(heads)
     if not n:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     tails = np.append(heads[1:], len(start))  # word after the sentence
     row = np.searchsorted(first, np.arange(n), "right") - 1
     unit = np.arange(n)
-    ahead = np.maximum(np.searchsorted(tails, heads + RUN_WORDS), unit + RUN_SENTENCES - 1)
+    ahead = np.searchsorted(tails, heads + RUN_WORDS)
     ok = ahead < first[row + 1]
     a, b = unit[ok], ahead[ok]
-    back = np.minimum(np.searchsorted(heads, tails - RUN_WORDS, "right") - 1, unit - RUN_SENTENCES + 1)
+    back = np.searchsorted(heads, tails - RUN_WORDS, "right") - 1
     ok = back >= first[row]
     ok[ok] &= ahead[back[ok]] != unit[ok]
     a, b = np.append(a, back[ok]), np.append(b, unit[ok])
-    hashes = word_hashes(data, start, end)
     power = np.full(len(hashes) + 1, BASE, np.uint64)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
@@ -104,7 +142,7 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without(text: str, spans: list[dict]) -> tuple[str, int]:
     """``text`` without the sentences that ``spans`` (first, last) cover, and how many these are."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    start, _, heads, _ = sentences(raw, np.array([0, len(raw)], np.int64))
+    start, _, heads, _, _ = sentences(raw, np.array([0, len(raw)], np.int64))
     step = np.zeros(len(heads) + 1, np.int64)
     for s in spans:
         step[s["first"]] += 1
@@ -130,23 +168,28 @@ def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The first occurrence is the one with the smallest id, then the smallest text hash,
     then the earliest in its text (nulls come first). Words are compared with A-Z lowered
-    and white space ignored. All columns return, with the text cut and ``count_col`` added:
-    the number of sentences removed. Text between sentences goes with the sentence before;
-    a text that lost sentences has no white space at its end; if it lost all, it is empty.
+    and white space, line ends too, ignored. All columns return, with the text cut and
+    ``count_col`` added: the number of sentences removed. Text between sentences goes with
+    the sentence before; a text that lost sentences has no white space at its end; if it
+    lost all, it is empty.
 
     Null and empty texts, and texts shorter than a run, stay as they are. Rows repeated
     with one id and text are one document and are treated alike. Columns may have any names
-    but ``count_col``; one of that name is replaced."""
-    spark_id, body = F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))
-    rows = df.select(spark_id.cast("long").alias("id"), body.alias("body"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    but ``count_col``; one of that name is replaced. Runs are told apart by 64-bit hashes:
+    among n different runs, about n * n / 2 ** 65 pairs share one by chance (10 ** 9 runs: 0.03)."""
+    own = uuid.uuid4().hex  # names that no column of df has
+    me, text_hash, spans, cut = (f"{x}_{own}" for x in ("id", "hash", "spans", "cut"))
+    body = F.xxhash64(F.col(text_col).cast("string"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), body.alias("body"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = stash(rows.mapInArrow(_run_rows, "run long, id long, body long, first int, last int"), "runs")
     place = F.struct("id", "body", "first")
-    firsts = found.groupBy("run").agg(F.min(place).alias("home"), F.max(place).alias("far")).where("home != far").select("run", "home")
+    firsts = found.groupBy("run").agg(F.min(place).alias("home"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "home")
     firsts = stash(firsts, "repeated-runs")
     again = found.join(firsts, "run").where(place != F.col("home"))
-    spans = again.groupBy(F.col("id").alias("__id"), F.col("body").alias("__body")).agg(F.collect_set(F.struct("first", "last")).alias("__spans"))
-    joined = df.drop(count_col).withColumn("__hash", body).join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__body")), "left")
-    hit = F.col("__spans").isNotNull()
-    joined = joined.withColumn("__cut", _cut(F.when(hit, F.col(text_col).cast("string")), F.col("__spans")))
-    out = [F.when(hit, F.col("__cut.text")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in df.columns if c != count_col]
-    return joined.select(*out, F.when(hit, F.col("__cut.n")).otherwise(F.lit(0)).cast("long").alias(count_col))
+    covered = again.groupBy(F.col("id").alias(me), F.col("body").alias(text_hash)).agg(F.collect_set(F.struct("first", "last")).alias(spans))
+    kept = df.drop(count_col)
+    joined = kept.withColumn(f"own_{own}", body).join(covered, F.col(id_col).cast("long").eqNullSafe(F.col(me)) & (F.col(f"own_{own}") == F.col(text_hash)), "left")
+    hit = F.col(spans).isNotNull()
+    joined = joined.withColumn(cut, _cut(F.when(hit, F.col(text_col).cast("string")), F.col(spans)))
+    out = [F.when(hit, F.col(f"{cut}.text")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept.columns]
+    return joined.select(*out, F.when(hit, F.col(f"{cut}.n")).otherwise(F.lit(0)).cast("long").alias(count_col))
