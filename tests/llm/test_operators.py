@@ -226,7 +226,8 @@ def test_tool_calls(spark):
     ).withColumn("level", F.lit("clash"))
     results = spark.createDataFrame([(1, "a", 5, "3"), (1, "a", 6, "later"), (1, "z", 8, None), (2, "a", 2, "r"), (1, None, 1, "q")], "conv long, call_id string, position long, content string")
     schema = {"add": {"properties": {"x": {"type": "integer", "minimum": 0}, "y": {"type": "number"}}, "required": ["x", "y"], "additionalProperties": False}}
-    got = {(r.conv, r.call_id, r.position, r.result_position): r for r in link_tool_calls(calls, results, schema, max_rounds=5).collect()}
+    rows = link_tool_calls(calls, results, schema).collect()
+    got = {(r.conv, r.call_id, r.position, r.result_position): r for r in rows}
     first = got[(1, "a", 0, 5)]
     assert first.status == "linked" and first.errors == []
     assert first.json == '{"arguments":{"x":1,"y":2},"call_id":"a","errors":[],"level":0,"name":"add","result":"3","status":"linked"}'
@@ -235,17 +236,63 @@ def test_tool_calls(spark):
     assert got[(1, "c", 9, None)].errors == ["arguments: not JSON"] and json.loads(got[(1, "c", 9, None)].json)["arguments"] == "not json"
     assert got[(1, "a", 7, None)].status == "duplicate" and got[(1, None, 3, None)].status == "unanswered"
     assert got[(1, "a", None, 6)].status == "duplicate" and got[(1, "z", None, 8)].status == "orphan" and got[(1, None, None, 1)].status == "orphan"
-    assert "cyclic" in {got[(2, "a", -1, 2)].status, got[(2, "b", 1, None)].status} and got[(2, "b", 1, None)].errors == ["unknown property"]
+    assert got[(2, "a", -1, 2)].status == got[(2, "b", 1, None)].status == "cyclic" and got[(2, "b", 1, None)].errors == ["unknown property"] and got[(2, "b", 1, None)].level == 1
     assert got[(3, "a", 0, None)].errors == ["x: not integer"]
+    assert sorted(r.status for r in rows if r.conv == 3) == ["duplicate", "unanswered"] and len(rows) == 9 + 3  # two results are linked
     assert all(json.loads(r.json) == json.loads(json.dumps(json.loads(r.json), sort_keys=True)) for r in got.values())
     assert link_tool_calls(calls.limit(0), results.limit(0), schema).count() == 0
     assert spark.range(1).select(canonical_json(F.lit('{ "b": [1, 2.50], "a": {"d": null, "c": "é"} }'))).first()[0] == '{"a":{"c":"é","d":null},"b":[1,2.5]}'
 
 
+def test_call_order_against_a_plain_walk(spark):
+    random.seed(2)
+    rows, truth = [], {}
+    for conv in range(12):
+        n = random.randrange(2, 40)
+        after = {i: [] for i in range(n)}
+        for i in range(n):  # chains, shared predecessors, some cycles and ids that no call has
+            after[i] = [str(j) for j in {random.randrange(n) for _ in range(random.choice([0, 1, 1, 2]))} if j < i or conv % 3 == 0 or conv % 3 == 1 and j > i] + (["none"] if i % 7 == 0 else [])
+        position = {i: random.randrange(30) for i in range(n)}
+        level = {}
+        while True:
+            more = {i: max([position[i], *(level[int(b)] + 1 for b in after[i] if b != "none")]) for i in range(n) if i not in level and all(b == "none" or int(b) in level for b in after[i])}
+            if not more:
+                break
+            level |= more
+        truth |= {(conv, str(i)): (level.get(i, position[i]), i not in level) for i in range(n)}
+        rows += [(conv, str(i), position[i], "t", "{}", after[i]) for i in range(n)]
+    rows += [(99, str(i), 0, "t", "{}", [str(i - 1)]) for i in range(300)]
+    truth |= {(99, str(i)): (i, False) for i in range(300)}
+    calls = spark.createDataFrame(rows, "conv long, call_id string, position long, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv long, call_id string, position long, content string")
+    got = {(r.conv, r.call_id): (r.level, r.status == "cyclic") for r in link_tool_calls(calls, results, {"t": {}}).collect()}
+    assert got == truth and {c for _, c in got.values()} == {True, False}
+
+
+def test_argument_schemas(spark):
+    schema = {
+        "t": {
+            "properties": {
+                "flag": {"enum": [True, None]}, "size": {"enum": ["a", 2]}, "n": {"minLength": 3, "minimum": 2}, "s": {"type": ["string", "null"], "minLength": 2, "maxLength": 3, "pattern": "^x"},
+                "list": {"type": "array", "items": {"type": "integer", "maximum": 5}}, "in": {"type": "object", "properties": {"a": {"type": "object", "required": ["b"], "additionalProperties": False}}},
+            },
+        }
+    }
+    cases = {
+        '{"flag":true,"size":2.0,"n":5,"s":"xy","list":[1,5],"in":{"a":{"b":1}}}': ["in.a: unknown property"], '{"flag":null,"size":"a","s":null,"list":[],"in":{}}': [],
+        '{"flag":"true","size":"2","n":1,"s":"y"}': ["flag: not in enum", "n: minimum", "s: minLength", "s: pattern", "size: not in enum"], '{"list":[1,"x",9,9],"in":{"a":{}}}': ["in.a.b: missing", "list[]: maximum", "list[]: not integer"],
+        '[1]': ["not an object"], '{"n":"ab","s":"xyzz"}': ["n: minLength", "s: maxLength"], '{"n":"abc","list":3}': ["list: not array"],
+    }
+    calls = spark.createDataFrame([(i, "a", 0, "t", text, []) for i, text in enumerate(cases)], "conv long, call_id string, position long, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv long, call_id string, position long, content string")
+    got = {r.conv: r.errors for r in link_tool_calls(calls, results, schema).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
 def test_odd_conversations(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", None), (1, None, "user", "x"), (None, 0, "user", "y"), (1, 5, "assistant", "z"), (1, 0, "user", None)]
     found = link_tool_calls(*conversation_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), REPLY_SCHEMA).collect()
-    assert sorted((r.status, len(r.errors)) for r in found) == [("linked", 1), ("orphan", 0), ("unanswered", 0), ("unanswered", 1)]
+    assert sorted((r.status, len(r.errors)) for r in found) == [("duplicate", 1), ("linked", 1), ("orphan", 0), ("unanswered", 0), ("unanswered", 1)]
 
 
 # 4 pieces
