@@ -5,6 +5,7 @@ import json
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -180,37 +181,82 @@ def test_packing_keeps_proportions(spark, monkeypatch, limit):
         assert abs(total - 256 * (k + 1)) <= 128
 
 
+def plain_round_robin(sizes, weights, quantum):
+    """The queue of each token, by a plain loop: the queue whose next quantum is most overdue is served."""
+    served, taken, out = [0] * len(sizes), [0] * len(sizes), []
+    while any(t < n for t, n in zip(taken, sizes)):
+        q = min((i for i in range(len(sizes)) if taken[i] < sizes[i]), key=lambda i: (Fraction(2 * served[i] + 1, weights[i]), i))
+        n = min(quantum, sizes[q] - taken[q])
+        out += [q] * n
+        served[q] += 1
+        taken[q] += n
+    return out
+
+
+@pytest.mark.parametrize("closed", [1024, 2])
+def test_packing_against_a_plain_round_robin(spark, monkeypatch, closed):
+    monkeypatch.setattr(packing, "CLOSED_FORM_QUEUES", closed)
+    random.seed(8)
+    rows = [(i, "word " * random.randrange(0, 90), random.choice(["a", "b", "b", "b", "c", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for targets in (None, {"a": 0.6, "b": 0.2}):
+        got = pack(df, tok(), window=64, quantum=16, targets=targets).collect()
+        names = [None, "a", "b", "c"]
+        sizes = [sum(p.length for p in got if p.queue == q) for q in names]
+        share = np.array(sizes) / sum(sizes)
+        wanted = np.array([(targets or {}).get(q, s) for q, s in zip(names, share)])
+        weights = [max(1, int(x)) for x in np.rint(wanted / wanted.sum() * packing.WEIGHT_UNIT)]
+        want = plain_round_robin(sizes, weights, 16)
+        found = [None] * sum(sizes)
+        for p in got:
+            at = p.sequence_id * 64 + p.offset
+            assert found[at : at + p.length] == [None] * p.length
+            found[at : at + p.length] = [names.index(p.queue)] * p.length
+        assert found == want
+        if targets:  # while no queue is empty, every window has its targets, which are not the natural shares
+            full = min(max(i for i, q in enumerate(want) if q == k) for k in range(4)) // 64
+            off = [want[: 64 * w].count(1) - 64 * w * wanted[1] / wanted.sum() for w in range(full + 1)]
+            assert full > 3 and abs(wanted[1] / wanted.sum() - share[1]) > 0.1 and max(map(abs, off)) <= 32  # deficits are carried
+    for i, text, _ in rows:  # every document lies in its queue as a whole, in order
+        mine = sorted((p.start, p.length, p.sequence_id * 64 + p.offset) for p in got if p.doc_id == i)
+        assert [m[0] for m in mine] == [0, *np.cumsum([m[1] for m in mine])[:-1].tolist()] and [m[2] for m in mine] == sorted(m[2] for m in mine)
+
+
 def test_packing_with_many_or_no_queues(spark, monkeypatch):
-    monkeypatch.setattr(packing, "MAX_QUEUES", 3)
+    monkeypatch.setattr(packing, "CLOSED_FORM_QUEUES", 3)
     df = spark.createDataFrame([(i, "some words " * i, f"s{i}") for i in range(12)], "doc_id long, text string, source string")
-    for pieces in (pack(df, tok(), window=64, quantum=8), pack(df.drop("source"), tok(), window=64, queue_col=None), pack(df, tok(), window=64, quantum=8, targets={"queue-0": 5.0})):
-        places = sorted((p.sequence_id * 64 + p.offset, p.length) for p in pieces.collect())
+    many = pack(df, tok(), window=64, quantum=8, targets={"s11": 0.5}).collect()
+    assert {p.queue for p in many} == {f"s{i}" for i in range(12)}
+    for pieces in (many, pack(df.drop("source"), tok(), window=64, queue_col=None).collect()):
+        places = sorted((p.sequence_id * 64 + p.offset, p.length) for p in pieces)
         assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0 and sum(n for _, n in places) == 2 * 66 + 11 + 12
 
 
-def test_schedule_is_a_tiling():
+def test_schedule_is_a_plain_round_robin():
     random.seed(3)
     for _ in range(50):
         sizes = np.array([random.randrange(0, 900) for _ in range(random.randrange(1, 6))])
         weights = np.array([random.randrange(1, 50) for _ in sizes])
         s = Schedule(sizes, weights, 16)
-        covered = np.zeros(sizes.sum(), int)
+        found = [None] * int(sizes.sum())
         for q, n in enumerate(sizes):
             if n:
-                for _, _, length, at in zip(*s.pieces(np.array([q]), np.array([0]), np.array([n]), 64), strict=True):
-                    covered[at : at + length] += 1
-        assert (covered == 1).all()
+                for _, _, length, at in zip(*packing.pieces(np.array([0]), np.array([n]), 16, 64, lambda row, j: s.position(np.full(len(j), q), j)), strict=True):  # noqa: B023
+                    assert found[at : at + length] == [None] * length
+                    found[at : at + length] = [q] * length
+        assert found == plain_round_robin(sizes.tolist(), weights.tolist(), 16)
 
 
 def test_encoder_matches_the_library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tok())
-    t.encode_special_tokens = True
-    encode = load_encoder(tok())
-    for text in ["", "Hello  world's\n\n\tx", "naïve 日本 𝄞", "<|endoftext|> a", LONG[:5000]]:
-        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
-    assert load_encoder(tok("word_bpe_49k.json"))("hello").tolist() == Tokenizer.from_file(tok("word_bpe_49k.json")).encode("hello", add_special_tokens=False).ids
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t = Tokenizer.from_file(tok(name))
+        for text in ["", "Hello  world's\n\n\tx", "naïve 日本 𝄞", "<|endoftext|> a", "a<|endoftext|><|endoftext|>\n b <|endoftext", LONG[:5000]]:
+            assert load_encoder(tok(name))(text).tolist() == t.encode(text, add_special_tokens=False).ids
+        t.encode_special_tokens = True
+        for text in ["<|endoftext|> a", "a<|endoftext|>"]:
+            assert load_encoder(tok(name), True)(text).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 # 3 tool calls
