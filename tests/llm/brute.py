@@ -70,9 +70,8 @@ def span_dedup(rows, words=24):
             run = []
             for b in range(a, len(u)):
                 run += u[b][2]
-                if len(run) >= words and (len(run) - len(u[b][2]) < words or len(run) - len(u[a][2]) < words):
+                if len(run) >= words:
                     places.setdefault(tuple(run), set()).add((i, a, b))
-                if len(run) - len(u[a][2]) >= words:
                     break
     gone = {i: set() for i in units}
     for found in places.values():

@@ -120,9 +120,9 @@ ORACLE_SQL: dict[str, str] = {
              u AS (SELECT doc_id, unit, min(i) AS a, max(i) AS b, string_agg(token, '' ORDER BY i) AS raw FROM r GROUP BY 1, 2),
              words AS (SELECT doc_id, list(word ORDER BY i) AS words FROM w GROUP BY 1),
              spans AS (SELECT x.doc_id, x.unit AS first, y.unit AS last, x.a AS a, y.b AS b,
-                              row_number() OVER (PARTITION BY x.doc_id, x.unit ORDER BY y.unit) AS ahead, row_number() OVER (PARTITION BY x.doc_id, y.unit ORDER BY x.unit DESC) AS back
+                              row_number() OVER (PARTITION BY x.doc_id, x.unit ORDER BY y.unit) AS ahead
                        FROM u x JOIN u y ON x.doc_id = y.doc_id AND y.unit BETWEEN x.unit + 2 AND x.unit + 31 AND y.b - x.a >= 23),
-             runs AS (SELECT s.doc_id, first, last, md5(list_aggregate(words[a : b], 'string_agg', ' ')) AS run FROM spans s JOIN words USING (doc_id) WHERE ahead = 1 OR back = 1),
+             runs AS (SELECT s.doc_id, first, last, md5(list_aggregate(words[a : b], 'string_agg', ' ')) AS run FROM spans s JOIN words USING (doc_id) WHERE ahead = 1),
              homes AS (SELECT run, min(struct_pack(d := doc_id, f := first)) AS home FROM runs GROUP BY 1 HAVING count(*) > 1),
              again AS (SELECT doc_id, first, last FROM runs JOIN homes USING (run) WHERE struct_pack(d := doc_id, f := first) <> home),
              gone AS (SELECT DISTINCT u.doc_id, u.unit FROM u JOIN again g ON g.doc_id = u.doc_id AND u.unit BETWEEN g.first AND g.last),

@@ -91,12 +91,11 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def runs(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """(row, first, last, hash) of all runs of sentences of a column of texts.
+    """(row, first, last, hash) of the runs of sentences of a column of texts: from each sentence
+    the shortest run that begins with it and is long enough.
 
-    From each sentence, the shortest run that begins with it and is long enough, and the
-    shortest one that ends with it. Of a repeated passage all sentences lie in such runs
-    but for those within CUT_WINDOW words of its start and twice as many of its end, whose
-    cuts may depend on what surrounds the passage."""
+    Of a repeated passage all sentences lie in such runs but for those within CUT_WINDOW words of
+    its start and three times as many of its end, where cuts may depend on what surrounds it."""
     data, offsets = utf8(column)
     start, end, heads, first, hashes = sentences(data, offsets)
     n = len(heads)
@@ -104,14 +103,9 @@ def runs(column: pa.Array) -> tuple[np.ndarray, ...]:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     tails = np.append(heads[1:], len(start))  # word after the sentence
     row = np.searchsorted(first, np.arange(n), "right") - 1
-    unit = np.arange(n)
     ahead = np.searchsorted(tails, heads + RUN_WORDS)
-    ok = ahead < first[row + 1]
-    a, b = unit[ok], ahead[ok]
-    back = np.searchsorted(heads, tails - RUN_WORDS, "right") - 1
-    ok = back >= first[row]
-    ok[ok] &= ahead[back[ok]] != unit[ok]
-    a, b = np.append(a, back[ok]), np.append(b, unit[ok])
+    a = np.flatnonzero(ahead < first[row + 1])
+    b = ahead[a]
     power = np.full(len(hashes) + 1, BASE, np.uint64)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
