@@ -3,16 +3,16 @@
 The pages of a host are merged into one tree of styles: every element path of a page
 counts once with its presentation (the sequence of its children) and its content (all
 text below it). The entropy of both over the host's pages gives a node's importance:
-what looks and reads the same on all pages matters little. Branches of low importance
-are removed from each page. Elements whose very name or role says that they are not
-content (navigation, footers, forms and so on) have no importance by definition, since
-a menu whose links change from page to page has the entropy of content."""
+what looks and reads the same on all pages, or is drawn from a small stock, matters
+little. Branches of low importance are removed from each page. Elements whose very name,
+role or class says that they are not content (navigation, footers, forms and so on) go
+too, since a host with few pages gives no entropy to speak of."""
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 
 from voxloom.llm.scratch import stash
 
-#: A branch goes if its importance is lower, judged on at least so many pages of its host.
-LEAST_IMPORTANCE = 0.2
-LEAST_PAGES = 10
+#: A branch goes if its importance is lower, unless more than this share of its texts are found on no other page of the table.
+LEAST_IMPORTANCE = 0.4
+MOST_UNIQUE = 0.05
+#: A host's own entropies weigh as its number of pages, those of the path over all hosts as so many pages: with few
+#: pages of its own a host is judged by what the same path is elsewhere.
+PRIOR_PAGES = 50
 #: So many noise branches may be sent to all tasks (about 200 bytes each); more are joined to the pages by a shuffle.
 BROADCAST_BRANCHES = 100_000
 
@@ -34,10 +37,12 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_DIGITS = re.compile(r"[0-9]+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 
-RAW = frozenset("script style title textarea xmp iframe noembed noframes template svg math object select noscript".split())
+#: Elements whose content is no text of the page: neither markup nor text in them is read.
+RAW = frozenset("script style title textarea iframe noembed noframes template select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -82,21 +87,31 @@ def _names_chrome(names: str) -> bool:
             return True
         while len(found) > 1 and (found[-1].isdigit() or found[-1] in PART_WORDS):
             found.pop()
-        if found and found[-1] in CHROME_WORDS and STATE_WORDS.isdisjoint(found):
+        if found and STATE_WORDS.isdisjoint(found) and (found[-1] in CHROME_WORDS or _written_together(found[-1])):
             return True
     return False
 
 
+def _written_together(word: str) -> bool:
+    """Whether a word is one for chrome and a part without a mark between them ("commentlist")."""
+    return any(word[:i] in CHROME_WORDS and word[i:] in PART_WORDS for i in range(2, len(word)))
+
+
 def _is_chrome(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     """Whether an element is chrome by name, role or style."""
-    if name in CHROME or (name == "header" and not in_article) or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+    if name in CHROME or (name in ("header", "noscript") and not in_article) or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
     return attrs.get("role", "").lower() in CHROME_ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower()
 
 
+#: A prime and a base of the hashes of text; fixed values.
+_PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79C4A6E821
+
+
 class Page:
-    """One parsed page: ``blocks`` of (path, inside an article, text), and ``features`` of
-    {path: [presentation, content]}, with paths as 64-bit numbers."""
+    """One parsed page: ``blocks`` of (inside an article, text), ``features`` of
+    {path: [presentation, content]}, with paths as 64-bit numbers, and ``lost``: characters
+    in removed branches by why these go (NOISE, CHROME_ITSELF and CHROME_NAMED, added up)."""
 
     def __init__(self, source: str, noise: frozenset[int] = frozenset(), with_features: bool = False):
         self._noise, self._with = noise, with_features
@@ -112,7 +127,9 @@ class Page:
         self._named: list[list[int]] = []  # of branches with a name of chrome: place, the one around, inside an article, characters
         self._stack: list[list] = []  # name, path, dropped for (NOISE, CHROME_ITSELF, CHROME_NAMED), article, children's hash, first chunk, last label, branch of _named
         self._text: list[str] = []
-        self._chunks: list[int] = []
+        self._sums: list[int] = [0]  # running hash of the text so far, chunk by chunk
+        self._open: dict[str, int] = {}  # elements of a name on the stack
+        self.lost: dict[int, int] = {}
         self._has_article = False
         self._parse(source)
         while self._stack:
@@ -150,7 +167,9 @@ class Page:
 
     def _add(self, text: str) -> None:
         if self._with:
-            self._chunks.append(xxhash.xxh64_intdigest(text))
+            self._sums.append((self._sums[-1] * _BASE + xxhash.xxh64_intdigest(text)) % _PRIME)
+        if self._dropped():
+            self.lost[self._stack[-1][2]] = self.lost.get(self._stack[-1][2], 0) + len(_SPACE.sub("", text))
         if not self._dropped():
             if not self._text:
                 self._block_inside = self._inside()
@@ -168,7 +187,8 @@ class Page:
             while self._stack and self._stack[-1][2] & dropped:
                 self._pop()
             parent = self._stack[-1] if self._stack else None
-        label = name + "." + attrs.get("class", "") + "#" + attrs.get("id", "")
+        # numbers in a class or id often tell one page from another, and no style from another
+        label = name + "." + _DIGITS.sub("0", attrs.get("class", "") + "#" + attrs.get("id", ""))
         path = xxhash.xxh64_intdigest(label, parent[1] if parent else 0)
         article_itself = name in ("article", "main") or attrs.get("role") in ("main", "article")
         article = (parent[3] if parent else False) or article_itself
@@ -189,15 +209,17 @@ class Page:
         if parent:
             parent[4] = xxhash.xxh64_intdigest(label, parent[4]) if label != parent[6] else parent[4]
             parent[6] = label
-        self._stack.append([name, path, chrome, article, 0, len(self._chunks), "", branch])
+        self._stack.append([name, path, chrome, article, 0, len(self._sums) - 1, "", branch])
+        self._open[name] = self._open.get(name, 0) + 1
 
     def _pop(self) -> None:
         name, path, _, _, children, first, _, _ = self._stack.pop()
+        self._open[name] -= 1
         if self._with and name in BLOCK:
-            content = xxhash.xxh64_intdigest(np.array(self._chunks[first:], np.uint64).tobytes())
+            content = (self._sums[-1] - self._sums[first] * pow(_BASE, len(self._sums) - 1 - first, _PRIME)) % _PRIME
             seen = self.features.setdefault(path, [0, 0])
-            seen[0] ^= children
-            seen[1] = (seen[1] * 31 + content) & ((1 << 64) - 1)
+            seen[0] = (seen[0] * 31 + children + 1) & ((1 << 64) - 1)
+            seen[1] = (seen[1] * 31 + content + 1) & ((1 << 64) - 1)
         if name in BLOCK:
             self._end_block()
 
@@ -225,7 +247,7 @@ class Page:
                 continue
             name = name.lower()
             if m["close"] or m["close2"]:
-                if any(s[0] == name for s in self._stack):
+                if self._open.get(name):
                     self._close_until({name}, frozenset())
                 elif name in BLOCK:
                     self._end_block()
@@ -260,77 +282,116 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, pages, presentation, content: the merged tree with its importances (0 to 1).
-
-    An importance is the entropy over the host's pages that have the path, to the base of
-    their number: 1 if all differ, 0 if all agree (or on one page, where both are 1)."""
+    """host, path, pages, presentation, content, importance, unique: the merged tree.
+
+    ``presentation`` and ``content`` are entropies over the host's different pages that have
+    the path, to the base of their number: 1 if all differ, 0 if all agree (and 1 on a single
+    page). ``importance`` is the mean of the two, drawn towards that of the path over the pages
+    of all hosts, which counts as PRIOR_PAGES pages. ``unique`` is the share of the host's pages
+    whose content at the path no other page of the table has there. Equal pages of a host
+    count as one."""
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out += [(host, path, a, b) for path, (a, b) in Page(source.as_py(), with_features=True).features.items()]
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                page = xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass"))
+                out += [(host, page, path, a, b) for path, (a, b) in Page(source, with_features=True).features.items()]
             if out:
                 host, *numbers = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(host), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in numbers)], ["host", "path", "style", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(host), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in numbers)], ["host", "page", "path", "style", "content"])
 
-    seen = rows.mapInArrow(run, "host string, path long, style long, content long")
+    seen = rows.mapInArrow(run, "host string, page long, path long, style long, content long").distinct()
+    counts = stash(seen.groupBy("host", "path", "style", "content").agg(F.count(F.lit(1)).alias("c")), "style-tree")
 
-    def entropies(feature: str, name: str) -> DataFrame:
-        c = F.col("c").cast("double")
-        n = F.sum("c")
+    def entropies(keys: list[str], feature: str, name: str) -> DataFrame:
+        c, n = F.col("c").cast("double"), F.sum("c")
         entropy = (F.log(n) - F.sum(c * F.log(c)) / n) / F.log(n)
-        return seen_counts.groupBy("host", "path", feature).agg(F.sum("c").alias("c")).groupBy("host", "path").agg(n.alias("pages"), F.when(n > 1, entropy).otherwise(1.0).alias(name))
+        summed = counts.groupBy(*keys, feature).agg(F.sum("c").alias("c"))
+        return summed.groupBy(*keys).agg(n.alias("pages"), F.when(n > 1, F.greatest(entropy, F.lit(0.0))).otherwise(1.0).alias(name))
 
-    seen_counts = stash(seen.groupBy("host", "path", "style", "content").agg(F.count(F.lit(1)).alias("c")), "style-tree")
-    styles, contents = entropies("style", "presentation"), entropies("content", "content")
-    return styles.join(contents.drop("pages"), ["host", "path"])
+    def importances(keys: list[str]) -> DataFrame:
+        return entropies(keys, "style", "presentation").join(entropies(keys, "content", "content").drop("pages"), keys)
 
+    mean = (F.col("presentation") + F.col("content")) / 2
+    everywhere = importances(["path"]).select("path", mean.alias("prior"))
+    alone = counts.groupBy("path", "content").agg(F.sum("c").alias("n"), F.min("host").alias("host")).where("n = 1").groupBy("host", "path").agg(F.count(F.lit(1)).alias("alone"))
+    own = importances(["host", "path"]).join(everywhere, "path").join(alone, ["host", "path"], "left")
+    drawn = (F.col("pages") * mean + PRIOR_PAGES * F.col("prior")) / (F.col("pages") + PRIOR_PAGES)
+    return own.select("host", "path", "pages", "presentation", "content", drawn.alias("importance"), (F.coalesce("alone", F.lit(0)) / F.col("pages")).alias("unique"))
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Main text of every page: ``id_col``, ``url_col``, text and n_chars (code points).
 
-    Blocks are joined by newlines in page order; white space inside one is a single space,
-    a ``br`` too. A page with an ``article`` or ``main`` element gives what is inside these,
-    any other its body. A branch is removed if its element is not content by name, role, class
-    or id, or if both its presentation and its content have a low importance on its host; an
-    article, what is inside it and what holds it never go for their importance. By class and id
-    neither an article goes, nor a branch with more than half of the text of a page without
-    articles, or of articles that would be empty otherwise.
+def _noise(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """host, path of the branches that go for their importance."""
+    low = (F.col("importance") < LEAST_IMPORTANCE) & (F.col("unique") <= MOST_UNIQUE) & (F.col("pages") > 1)
+    return stash(style_tree(pages, url_col, html_col).where(low).select("host", "path"), "noise-branches")
 
-    A null or empty page has the empty text. Pages repeated in the table are extracted each,
-    and count each for their host; pages without a host form one of their own. A null id or
-    url stays null. Only the three columns named are read."""
-    spark = pages.sparkSession
-    low = F.greatest("presentation", "content") < LEAST_IMPORTANCE
-    noise = style_tree(pages, url_col, html_col).where((F.col("pages") >= LEAST_PAGES) & low)
-    noise = stash(noise.select("host", "path"), "noise-branches")
+
+def _parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str, names: list[str], kinds: list[str], read: Callable[[str | None, frozenset[int]], tuple]) -> DataFrame:
+    """``id_col``, ``url_col`` and the columns that ``read`` makes of each page and the noise paths of its host."""
+    noise = _noise(pages, url_col, html_col)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     known: dict[str, set[int]] | None = None
     if noise.limit(BROADCAST_BRANCHES + 1).count() <= BROADCAST_BRANCHES:
         known = {}
         for r in noise.toLocalIterator():
             known.setdefault(r["host"], set()).add(r["path"])
-        shared = spark.sparkContext.broadcast({h: frozenset(p & (1 << 64) - 1 for p in paths) for h, paths in known.items()})
+        shared = pages.sparkSession.sparkContext.broadcast({h: frozenset(p & (1 << 64) - 1 for p in paths) for h, paths in known.items()})
         rows = rows.withColumn("noise", F.lit(None).cast("array<long>"))
     else:
-        # a host's list has only branches that at least LEAST_PAGES of its pages share
+        # a host's list has only branches that at least two of its pages share
         rows = rows.join(noise.groupBy("host").agg(F.collect_list("path").alias("noise")), "host", "left").select("id", "url", "host", "html", "noise")
     broadcast = known is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            found = []
             for host, source, own in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
-                if broadcast:
-                    paths = shared.value.get(host, frozenset())
-                else:
-                    paths = frozenset(p & (1 << 64) - 1 for p in own.as_py() or ())
-                texts.append(Page(source.as_py(), paths).text() if source.is_valid else "")
-            sizes = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["id", "url", "text", "n_chars"])
-
-    kinds = dict(pages.dtypes)
-    out = rows.mapInArrow(run, f"id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
+                paths = shared.value.get(host, frozenset()) if broadcast else frozenset(p & (1 << 64) - 1 for p in own.as_py() or ())
+                found.append(read(source.as_py(), paths))
+            made = zip(*found, strict=True) if found else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.string() if k == "string" else pa.int64()) for x, k in zip(made, kinds, strict=True))], ["id", "url", *names])
+
+    types = dict(pages.dtypes)
+    out = rows.mapInArrow(run, ", ".join([f"id {types[id_col]}", f"url {types[url_col]}", *(f"{n} {k}" for n, k in zip(names, kinds, strict=True))]))
     return out.withColumnsRenamed({"id": id_col, "url": url_col})
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Main text of every page: ``id_col``, ``url_col``, text and n_chars (code points).
+
+    Blocks are joined by newlines in page order; white space inside one is a single space,
+    a ``br`` too. A page with an ``article`` or ``main`` element gives what is inside these,
+    any other its body. A branch is removed if its element is not content by name, role, class
+    or id, or if its importance on its host is low (see ``style_tree``) and its texts are not
+    its pages' own; an article, what is inside it and what holds it never go for their
+    importance. By class and id neither an article goes, nor a branch with more than half of
+    the text of a page without articles, or of articles that would be empty otherwise.
+
+    A null or empty page has the empty text. Pages repeated in the table are extracted each,
+    and count once for their host; pages without a host form one of their own. A null id or
+    url stays null. Only the three columns named are read."""
+
+    def read(source: str | None, noise: frozenset[int]) -> tuple[str, int]:
+        text = Page(source, noise).text() if source else ""
+        return text, len(text)
+
+    return _parsed(pages, id_col, url_col, html_col, ["text", "n_chars"], ["string", "long"], read)
+
+
+def removal_report(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """What removes how much of every page: ``id_col``, ``url_col`` and numbers of characters (white space
+    not counted): kept, beside_article (in no removed branch, but outside the page's articles), by_importance
+    (in branches that the style tree alone removes), by_name (that name, role or class alone removes) and
+    by_both. Nulls and repeated pages as in ``extract_main_text``."""
+
+    def read(source: str | None, noise: frozenset[int]) -> tuple[int, ...]:
+        page = Page(source or "", noise)
+        size = lambda keep: sum(len(t.replace(" ", "")) for inside, t in page.blocks if keep(inside))
+        kept = size(lambda inside: inside or not page._has_article)
+        beside = size(lambda inside: page._has_article and not inside)
+        lost = lambda why: sum(n for flags, n in page.lost.items() if why(flags))
+        return kept, beside, lost(lambda f: f == NOISE), lost(lambda f: not f & NOISE), lost(lambda f: f & NOISE and f != NOISE)
+
+    return _parsed(pages, id_col, url_col, html_col, ["kept", "beside_article", "by_importance", "by_name", "by_both"], ["long"] * 5, read)

@@ -203,27 +203,39 @@ class Lattice:
 
     def n_best(self, segment: int, n: int) -> list[tuple[float, np.ndarray]]:
         """The ``n`` best paths of one segment, (score, ids), by A* from its end: a partial path
-        is taken in the order of its score plus the forward score of where it stands."""
+        is taken in the order of its score plus the forward score of where it stands.
+
+        Of equal ones the path that stands nearest to the start goes on, and no place is left
+        more than ``n`` times, which is all that ``n`` paths need; so ties cost nothing."""
         forward = self.forward[:, segment].tolist()
-        score, pieces = [s[:, segment].tolist() for s in self.score], [p[:, segment].tolist() for p in self.piece]
-        heap: list[tuple[float, int, int, float, tuple | None]] = [(-forward[-1], 0, len(forward) - 1, 0.0, None)]
+        length = len(forward) - 1
+        score = [s[:, segment] for s in self.score]
+        # edges that end at each place, made when it is first reached
+        edges: dict[int, list[tuple[int, int, float]]] = {}
+        left = [0] * (length + 1)
+        heap: list[tuple[float, int, int, float, tuple | None]] = [(-forward[-1], length, 0, 0.0, None)]
         out: list[tuple[float, np.ndarray]] = []
         pushed = 0
         while heap and len(out) < n:
-            _, _, at, total, path = heapq.heappop(heap)
+            _, at, _, total, path = heapq.heappop(heap)
             if at == 0:
-                found: list[int] = []
+                steps: list[tuple[int, int]] = []
                 while path:
                     begin, k, path = path
-                    found += [pieces[k - 1][begin]] if pieces[k - 1][begin] >= 0 else self.ids(*(np.array([x]) for x in (begin, segment, k)))[0].tolist()
-                out.append((total, np.array(found, np.uint32)))
+                    steps.append((begin, k))
+                begins, sizes = np.array(steps, np.int64).reshape(-1, 2).T
+                out.append((total, self.ids(begins, np.full(len(begins), segment), sizes)[0]))
+                continue
+            if left[at] == n:
                 continue
-            for k in range(1, min(at, len(score)) + 1):
-                value = score[k - 1][at - k]
-                if value > -np.inf:
+            left[at] += 1
+            if at not in edges:
+                edges[at] = [(at - k, k, float(score[k - 1][at - k])) for k in range(1, min(at, len(score)) + 1) if score[k - 1][at - k] > -np.inf]
+            for begin, k, value in edges[at]:
+                if left[begin] < n:
                     pushed += 1
                     reached = total + value
-                    heapq.heappush(heap, (-(reached + forward[at - k]), pushed, at - k, reached, (at - k, k, path)))
+                    heapq.heappush(heap, (-(reached + forward[begin]), begin, pushed, reached, (begin, k, path)))
         return out
 
 
