@@ -90,22 +90,27 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, end, heads, np.searchsorted(heads, first), hashes
 
 
-def runs(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """(row, first, last, hash) of the runs of sentences of a column of texts: from each sentence
+def _ends(heads: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sentences that begin a run, its last sentence): the shortest run that is long enough."""
+    tails = np.append(heads[1:], n)  # word after the sentence
+    row = np.searchsorted(first, np.arange(len(heads)), "right") - 1
+    ahead = np.searchsorted(tails, heads + RUN_WORDS)
+    begin = np.flatnonzero(ahead < first[row + 1])
+    return begin, ahead[begin]
+
+
+def runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first sentence, hash) of the runs of sentences of a column of texts: from each sentence
     the shortest run that begins with it and is long enough.
 
     Of a repeated passage all sentences lie in such runs but for those within CUT_WINDOW words of
     its start and three times as many of its end, where cuts may depend on what surrounds it."""
     data, offsets = utf8(column)
     start, end, heads, first, hashes = sentences(data, offsets)
-    n = len(heads)
-    if not n:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    tails = np.append(heads[1:], len(start))  # word after the sentence
-    row = np.searchsorted(first, np.arange(n), "right") - 1
-    ahead = np.searchsorted(tails, heads + RUN_WORDS)
-    a = np.flatnonzero(ahead < first[row + 1])
-    b = ahead[a]
+    if not len(heads):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    a, b = _ends(heads, first, len(start))
+    row = np.searchsorted(first, a, "right") - 1
     power = np.full(len(hashes) + 1, BASE, np.uint64)
     power[0] = 1
     np.multiply.accumulate(power, out=power)
@@ -113,54 +118,70 @@ def runs(column: pa.Array) -> tuple[np.ndarray, ...]:
     inverse[0] = 1
     np.multiply.accumulate(inverse, out=inverse)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1])])
-    lo, hi = heads[a], tails[b]
+    lo, hi = heads[a], np.append(heads[1:], len(start))[b]
     value = mix64((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
-    return row[a], a - first[row[a]], b - first[row[a]], value
+    return row, a - first[row], value
+
+
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows in slices of about SLICE_BYTES of text."""
+    _, offsets = utf8(column)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        yield at, end
+        at = end
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        _, offsets = utf8(batch.column(2))
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
-            row, first, last, value = runs(batch.column(2).slice(at, end - at))
+        for at, end in _slices(batch.column(2)):
+            row, first, value = runs(batch.column(2).slice(at, end - at))
             pick = pa.array(row + at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(value.view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                ["run", "id", "body", "first", "last"],
-            )
-            at = end
-
-
-def without(text: str, spans: list[dict]) -> tuple[str, int]:
-    """``text`` without the sentences that ``spans`` (first, last) cover, and how many these are."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    start, _, heads, _, _ = sentences(raw, np.array([0, len(raw)], np.int64))
-    step = np.zeros(len(heads) + 1, np.int64)
-    for s in spans:
-        step[s["first"]] += 1
-        step[s["last"] + 1] -= 1
-    gone = np.cumsum(step[:-1]) > 0
-    begin = start[heads]
-    stop = np.append(begin[1:], len(raw))
-    kept = [raw[: begin[0]].tobytes(), *(raw[x:y].tobytes() for x, y in zip(begin[~gone], stop[~gone], strict=True))]
-    return b"".join(kept).decode("utf-8", "surrogatepass").rstrip(), int(gone.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(first.astype(np.int32))], ["run", "id", "body", "first"])
+
+
+def without(column: pa.Array, begins: pa.Array) -> list[tuple[str | None, int]]:
+    """Texts without the sentences that the runs which begin at ``begins`` (numbers of sentences) cover, and how
+    many these are; (null, 0) where either is null."""
+    data, offsets = utf8(column)
+    start, _, heads, first, _ = sentences(data, offsets)
+    begin, last = _ends(heads, first, len(start)) if len(heads) else (np.zeros(0, np.int64),) * 2
+    end_of = np.zeros(len(heads) + 1, np.int64)
+    end_of[begin] = last
+    out: list[tuple[str | None, int]] = []
+    for i, spans in enumerate(begins):
+        if not spans.is_valid or not column[i].is_valid:
+            out.append((None, 0))
+            continue
+        a, b = first[i], first[i + 1]
+        at = spans.values.to_numpy() + a
+        step = np.zeros(b - a + 1, np.int64)
+        np.add.at(step, at - a, 1)
+        np.add.at(step, end_of[at] + 1 - a, -1)
+        kept = np.cumsum(step[:-1]) == 0
+        edges = np.append(start[heads[a:b]], offsets[i + 1])
+        keep = np.zeros(offsets[i + 1] - offsets[i], np.int8)
+        keep[: edges[0] - offsets[i]] = 1
+        keep[edges[0] - offsets[i] :] = np.repeat(kept, np.diff(edges))
+        text = data[offsets[i] : offsets[i + 1]][keep.astype(bool)].tobytes().decode("utf-8", "surrogatepass")
+        out.append((text.rstrip(), int((~kept).sum())))
+    return out
 
 
 _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())])
 
 
 @F.arrow_udf(_CUT)
-def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
-    done = [without(t.as_py(), s.as_py()) if t.is_valid and s.is_valid else (None, 0) for t, s in zip(text, spans, strict=True)]
+def _cut(text: pa.Array, begins: pa.Array) -> pa.Array:
+    done = [x for at, end in _slices(text) for x in without(text.slice(at, end - at), begins.slice(at, end - at))]
     return pa.StructArray.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int32())], ["text", "n"])
 
 
 def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_removed") -> DataFrame:
     """Removes from every text the sentences that lie in a repeated run, except the run's first occurrence.
 
-    The first occurrence is the one with the smallest id, then the smallest text hash,
+    The first occurrence is the one with the smallest id, then the smallest hash of the text,
     then the earliest in its text (nulls come first). Words are compared with A-Z lowered
     and white space, line ends too, ignored. All columns return, with the text cut and
     ``count_col`` added: the number of sentences removed. Text between sentences goes with
@@ -168,19 +189,19 @@ def remove_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str =
     lost all, it is empty.
 
     Null and empty texts, and texts shorter than a run, stay as they are. Rows repeated
-    with one id and text are one document and are treated alike. Columns may have any names
+    with one id and text (told apart by a 32-bit hash) are one document and are treated alike. Columns may have any names
     but ``count_col``; one of that name is replaced. Runs are told apart by 64-bit hashes:
     among n different runs, about n * n / 2 ** 65 pairs share one by chance (10 ** 9 runs: 0.03)."""
     own = uuid.uuid4().hex  # names that no column of df has
     me, text_hash, spans, cut = (f"{x}_{own}" for x in ("id", "hash", "spans", "cut"))
-    body = F.xxhash64(F.col(text_col).cast("string"))
+    body = F.hash(F.col(text_col).cast("string"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), body.alias("body"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = stash(rows.mapInArrow(_run_rows, "run long, id long, body long, first int, last int"), "runs")
+    found = rows.mapInArrow(_run_rows, "run long, id long, body int, first int")  # made twice: cheaper than to store
     place = F.struct("id", "body", "first")
     firsts = found.groupBy("run").agg(F.min(place).alias("home"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "home")
     firsts = stash(firsts, "repeated-runs")
     again = found.join(firsts, "run").where(place != F.col("home"))
-    covered = again.groupBy(F.col("id").alias(me), F.col("body").alias(text_hash)).agg(F.collect_set(F.struct("first", "last")).alias(spans))
+    covered = again.groupBy(F.col("id").alias(me), F.col("body").alias(text_hash)).agg(F.collect_set("first").alias(spans))
     kept = df.drop(count_col)
     joined = kept.withColumn(f"own_{own}", body).join(covered, F.col(id_col).cast("long").eqNullSafe(F.col(me)) & (F.col(f"own_{own}") == F.col(text_hash)), "left")
     hit = F.col(spans).isNotNull()
