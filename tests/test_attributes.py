@@ -1,23 +1,47 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from voxloom.functions import attrs
 from voxloom.functions.uri import Address, encode_path, normalize_group
 from voxloom.functions.versions import CURRENT, Version
 
-NORMAL = [
-    ("/a/b/c/", "/a/b/c"), ("/", "/"), ("", ""), ("/a/..", "/"), ("/a/../b/../c/d/../..", "/"), ("/./././", "/"), ("././", ""), ("./a././.", "a."),
-    ("./a./../\\\\././.", "\\\\."), ("/./a./\\\\././.", "/a./\\\\."), ("/a/[0]/b[0]/", "/a/[0]/b/[0]"), ("[0]", "[0]"), ("/[0]/", "/[0]"), ("/a[0]/", "/a/[0]"),
-    ("/[0]b/", "/[0]/b"), ("[b]", "[b]"), ("a[b]c", "a[b]c"), ("a[bc", "a[bc"), ("ab]c", "ab]c"), ("a[b00]c", "a[b00]c"), ("[ ]", "[ ]"), ("[\n]", "[\n]"), ("[\\]", "[\\]"),
-    ("it's/a b/", "it's/a b"), ("x/////y////z/", "x/y/z"), ("/../f/r/t/../a/b/.././w///.w/z", "/f/r/a/w/.w/z"), ("../f/r/t/../a", "f/r/a"), ("../r/../o/../s/..", ""),
-    ("/../r/../m/../..", "/"), ("a/../b", "b"), ("/../a/../../b", "/b"), ("\\/a\\/b", "\\/a\\/b"), ("/a\\\\/b/c", "/a\\\\/b/c"), ("a[b]\\[10]", "a[b]\\[10]"), ("\\[10]", "\\[10]"),
-    ("a[0]\\[10]b", "a/[0]/\\[10]b"), ("[\\[10]\\[20]]", "[\\[10]\\[20]]"), ("[\\[10][20]]", "[\\[10]/[20]/]"), ("\\/", "\\/"),
-]
-
 
-@pytest.mark.parametrize("path,normal", NORMAL)
-def test_normalize(path, normal):
-    assert attrs.normalize_path(path) == normal
-    assert attrs.normalize_path(normal) == normal
+def _messy_and_normal(rng):
+    """A path written carelessly from known steps, and its normal form."""
+    kept, text = [], ""
+    absolute = rng.random() < 0.5
+    for n in range(rng.randrange(0, 8)):
+        kind = rng.choice(["key", "key", "key", "index", "here", "up"])
+        if kind == "index":
+            step = f"[{rng.randrange(40)}]"
+            text += step if rng.random() < 0.6 else "/" * bool(text) + step
+        else:
+            alphabet = ["a", "b", "Z", "7", " ", "é", ".", "-", "\\/", "\\[", "\\\\", "]", "[x]", "[1x]", "#"]
+            step = {"here": ".", "up": ".."}.get(kind) or "k" + "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 4)))
+            text += "/" * rng.choice([1, 1, 2, 3]) * bool(text) + step
+        if kind == "up":
+            kept[-1:] = []
+        elif kind != "here":
+            kept.append(step)
+    lead, tail = "/" * rng.choice([1, 2]) if absolute else "", "/" * rng.choice([0, 0, 1, 2]) * bool(text)
+    return lead + text + tail, "/" * absolute + "/".join(kept)
+
+
+def test_normalize_made_paths():
+    rng = random.Random(20)
+    for _ in range(4000):
+        path, normal = _messy_and_normal(rng)
+        assert attrs.normalize_path(path) == normal, path
+        assert attrs.normalize_path(normal) == normal
+
+
+def test_normalize_marks():
+    # a bracket pair is an index only around digits; an escaped mark belongs to its key
+    assert attrs.path_tokens("grid[12]axis") == ["grid", "[12]", "axis"] and attrs.path_tokens("grid[1 2]axis") == ["grid[1 2]axis"]
+    assert attrs.path_tokens("grid\\[12]axis") == ["grid\\[12]axis"] and attrs.path_tokens("one\\/two/three") == ["one\\/two", "three"]
+    assert attrs.path_tokens("//") == [] and attrs.normalize_path("//") == "/" and attrs.normalize_path("") == "" and attrs.normalize_path("up/../..") == ""
 
 
 def test_get_set_remove():
@@ -36,24 +60,43 @@ def test_get_set_remove():
 
 
 def test_types():
-    node = {"d": [1.5, 2.5], "s": ["a"], "x": 1.5, "l": [1, 2], "n": 3, "w": 1.0, "m": [1.0, 2.0, 3.1], "o": [1.5, 2], "mix": [1, "a"], "b": True, "z": None, "e": {}}
-    assert attrs.list_types(node) == {
-        "d": "double[]", "s": "string[]", "x": "double", "l": "long[]", "n": "long", "w": "long", "m": "double[]", "o": "object[]", "mix": "object[]", "b": "boolean", "z": None, "e": "object",
-    }
+    for node, kind in ((None, None), (True, "boolean"), (0, "long"), (-4.0, "long"), (0.25, "double"), ("", "string"), ({}, "object"), ([], "object[]"), ([True, False], "boolean[]"), ([[1], [2]], "long[][]")):
+        assert attrs.type_of(node) == kind
+    for first in (3, 3.0, 0.5, "t", {"k": 1}, None):
+        for second in (4, 0.75, "u", {}, None):
+            one, two = attrs.type_of(first), attrs.type_of(second)
+            both = one if one == two else "double" if (one, two) == ("long", "double") else "object"
+            assert attrs.type_of([first, second]) == f"{both or 'object'}[]"
+    assert attrs.list_types({"pages": 12, "title": "x", "share": [0.5, 2]}) == {"pages": "long", "title": "string", "share": "object[]"}
     with pytest.raises(ValueError):
-        attrs.list_types([1])
-
-
-RESOLVED = [
-    ("/a/b/c", "d?e#f", "/a/b/c/d?e#f"), ("/a/b/c", "/d?e#f", "/d?e#f"), ("s3://bucket/x/y.box", "file:/a/b/c", "file:/a/b/c"), ("s3://bucket/x/y.box", "/a/b/c", "s3://bucket/a/b/c"),
-    ("s3://bucket/x/y.box", "/a/b/c?d/e#f/g", "s3://bucket/a/b/c?d/e#f/g"), ("s3://bucket/x/y.box", "a/b/c?d/e#f/g", "s3://bucket/x/y.box/a/b/c?d/e#f/g"),
-    ("s3://bucket/x/y.box", "?d/e#f/g", "s3://bucket/x/y.box?d/e#f/g"), ("s3://bucket/x/y.box", "#f/g", "s3://bucket/x/y.box#f/g"),
-]
-
-
-@pytest.mark.parametrize("base,relative,found", RESOLVED)
-def test_resolve(base, relative, found):
-    assert str(Address.parse(base).resolve(relative)) == found
+        attrs.list_types("no object")
+
+
+def test_resolve():
+    base = Address("zip:/data/box.zip", "scans/left", "size")
+    # an address of its own; a path from the root, and one from here; a group beside, and one from the root; an attribute
+    for relative, found in (
+        ("mem:q", Address("mem:q")), ("/other?g", Address("zip:/other", "g")), ("part", Address("zip:/data/box.zip/part")), ("?../right#n", Address("zip:/data/box.zip", "scans/right", "n")),
+        ("?/top", Address("zip:/data/box.zip", "/top")), ("#n[2]", Address("zip:/data/box.zip", "scans/left", "n[2]")),
+    ):
+        assert base.resolve(relative) == found and base.resolve(Address.parse(str(found))) == (found if found.is_absolute else base.resolve(found))
+    assert Address.parse("/plain/path").resolve("/elsewhere#x") == Address("/elsewhere", None, "x")
+    assert Address.parse("http://host:80/a/b").resolve("/c") == Address("http://host:80/c")
+
+
+def test_columns(spark):
+    rng = random.Random(21)
+    paths = [_messy_and_normal(rng) for _ in range(200)]
+    df = spark.createDataFrame([*paths, (None, None)], "path string, normal string")
+    assert df.where(~attrs.normalize_path_column(F.col("path")).eqNullSafe(F.col("normal"))).count() == 0
+    texts = ["", None, "no json", '{"a":[1,{"b":null}],"c":2.0}', "[1,2.5]", "7"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    row = df.select(attrs.set_column(F.col("t"), "a[1]/z", F.lit("true")).alias("put"), attrs.remove_column(F.col("t"), "a[0]").alias("cut"), attrs.list_types_column(F.col("t")).alias("types"), attrs.type_column(F.col("t")).alias("kind"))
+    assert [tuple(r) for r in row.collect()] == [
+        ('{"a":[null,{"z":true}]}', None, None, None), ('{"a":[null,{"z":true}]}', None, None, None), ('{"a":[null,{"z":true}]}', None, None, None),
+        ('{"a":[1,{"z":true}],"c":2.0}', '{"a":[{}],"c":2.0}', {"a": "object[]", "c": "long"}, "object"), ('{"a":[null,{"z":true}]}', "[1,2.5]", None, "double[]"), ('{"a":[null,{"z":true}]}', "7", None, "long"),
+    ]
+    assert spark.range(1).select(attrs.set_column(F.lit('{"a":{"n":null}}'), "/", F.lit("[null]"), keep_nulls=True)).first()[0] == "[null]"
 
 
 def test_addresses():

@@ -6,10 +6,13 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _INDEX = re.compile(r"\[(\d+)\]")
 
@@ -164,34 +167,77 @@ def json_path(path: str) -> str:
     return out
 
 
-def get_column(text: Column, path: str, kind: str = "string") -> Column:
-    """The attribute at a path of a JSON text column; null where absent or of another type."""
-    return F.try_variant_get(F.try_parse_json(text), json_path(path), kind)
+def get_column(text: Column, path: str, kind: str = "string", parsed: bool = False) -> Column:
+    """The attribute at a path of a JSON text column; null where absent or of another type. With
+    ``parsed`` the column is a variant already (``F.try_parse_json``, once for several attributes)."""
+    return F.try_variant_get(text if parsed else F.try_parse_json(text), json_path(path), kind)
 
 
-def type_column(text: Column, path: str = "") -> Column:
-    """``type_of`` for scalars of a JSON text column; arrays and objects by name only."""
-    node = F.try_variant_get(F.try_parse_json(text), json_path(path), "variant")
+@F.arrow_udf(T.StringType())
+def _array_type(text: pa.Array) -> pa.Array:
+    return pa.array([type_of(json.loads(t)) if t is not None else None for t in text.to_pylist()], pa.string())
+
+
+def type_column(text: Column, path: str = "", parsed: bool = False) -> Column:
+    """``type_of`` of a node of a JSON text column, or with ``parsed`` a variant. Only arrays leave the JVM."""
+    node = F.try_variant_get(text if parsed else F.try_parse_json(text), json_path(path), "variant")
     kind = F.schema_of_variant(node)
     number = F.try_variant_get(node, "$", "double")
+    is_array = kind.startswith("ARRAY")
     return (
         F.when(kind == "BOOLEAN", "boolean")
         .when(kind == "STRING", "string")
-        .when(kind.startswith("ARRAY"), "array")
+        .when(is_array, _array_type(F.when(is_array, F.to_json(node))))
         .when(kind.startswith("OBJECT"), "object")
         .when(number.isNotNull(), F.when(number == F.floor(number), "long").otherwise("double"))
     )
 
 
-def put_column(text: Column, key: str, value: Column) -> Column:
-    """A JSON object column with a top-level string member set, built in. Other members keep their types."""
-    members = F.from_json(text, "map<string,string>")
-    return F.map_concat(F.map_filter(members, lambda k, v: k != key), F.create_map(F.lit(key), value.cast("string")))
+def _edited(change: Callable[..., Any]) -> Callable[..., Column]:
+    """A function of texts as one of columns: ``change`` gets the values of a row (null: None) and gives a text."""
+
+    @F.arrow_udf(T.StringType())
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([change(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)], pa.string())
+
+    return run
+
+
+def _node(text: str | None) -> Any:
+    try:
+        return json.loads(text) if text is not None and text.strip() else None
+    except ValueError:
+        return None
+
+
+def set_column(text: Column, path: str, value: Column, keep_nulls: bool = False) -> Column:
+    """A JSON text column with ``value``, a column of JSON texts, at an attribute path, as ``set_value`` does.
+
+    What is no JSON counts as absent. Nulls of objects are left out unless ``keep_nulls``."""
+    return _edited(lambda t, v: dumps(set_value(_node(t), path, _node(v)), keep_nulls))(text, value)
+
+
+def remove_column(text: Column, path: str, keep_nulls: bool = False) -> Column:
+    """A JSON text column without the node at an attribute path; null where that leaves nothing."""
+
+    def change(t: str | None) -> str | None:
+        left = remove(_node(t), path)[0]
+        return None if left is None else dumps(left, keep_nulls)
+
+    return _edited(change)(text)
+
+
+@F.arrow_udf(T.MapType(T.StringType(), T.StringType()))
+def list_types_column(text: pa.Array) -> pa.Array:
+    """The types of the members of a column of JSON objects, as ``list_types``; null for anything else."""
+    nodes = [_node(t) for t in text.to_pylist()]
+    return pa.array([list(list_types(n).items()) if isinstance(n, dict) else None for n in nodes], pa.map_(pa.string(), pa.string()))
 
 
-def drop_column(text: Column, key: str) -> Column:
-    """Members of a JSON object column without one key, as a map of JSON texts."""
-    return F.map_filter(F.from_json(text, "map<string,string>"), lambda k, v: k != key)
+@F.arrow_udf(T.StringType())
+def normalize_path_column(path: pa.Array) -> pa.Array:
+    """``normalize_path`` of a column of attribute paths."""
+    return pa.array([None if p is None else normalize_path(p) for p in path.to_pylist()], pa.string())
 
 
 def normalize_group_column(path: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import prod
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -181,6 +181,16 @@ class Region:
             df = df.withColumn(f"{prefix}{d}", F.explode(spot))
         return df
 
+    def table(self, spark: SparkSession, grid: NestedGrid, level: int = 0, prefix: str = "g") -> DataFrame:
+        """All block positions that the region meets, made in all tasks: columns g0, g1, ..."""
+        bounds = self.blocks(grid, level)
+        sizes = [max(0, hi - lo + 1) for lo, hi in bounds]
+        index, out = F.col("id"), []
+        for d, ((lo, _), size) in enumerate(zip(bounds, sizes, strict=True)):
+            out.append((index % F.lit(max(1, size)) + lo).cast("long").alias(f"{prefix}{d}"))
+            index = div(index, max(1, size))
+        return spark.range(prod(sizes)).select(*out)
+
 
 def invert_permutation(p: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (F.array_position(p, i) - 1).cast("int"))

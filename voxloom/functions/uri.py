@@ -6,8 +6,10 @@ import re
 from dataclasses import dataclass
 from urllib.parse import quote, unquote
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxloom.functions.attrs import normalize_path
 
@@ -90,6 +92,33 @@ def attribute_column(text: Column) -> Column:
     return F.when(text.contains("#"), F.regexp_extract(text, r"#(.*)$", 1)).otherwise("/")
 
 
+def _decoded(text: Column) -> Column:
+    """Percent escapes decoded; a plus sign is one, and what isn't encoded right stays."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
+def decoded_group_column(text: Column) -> Column:
+    """``group_column``, decoded."""
+    return _decoded(group_column(text))
+
+
+def decoded_attribute_column(text: Column) -> Column:
+    """``attribute_column``, decoded."""
+    return _decoded(attribute_column(text))
+
+
+def is_absolute_column(text: Column) -> Column:
+    """Whether the container of an address has a scheme, a drive or a leading slash."""
+    return container_column(text).rlike(r"^([A-Za-z][A-Za-z0-9+.-]+:|[A-Za-z]:|/)")
+
+
+@F.arrow_udf(T.StringType())
+def resolve_column(base: pa.Array, relative: pa.Array) -> pa.Array:
+    """``Address.resolve`` of two columns of addresses; null where either is."""
+    rows = zip(base.to_pylist(), relative.to_pylist(), strict=True)
+    return pa.array([None if b is None or r is None else str(Address.parse(b).resolve(r)) for b, r in rows], pa.string())
+
+
 def encode_path(path: str) -> str:
     """Percent-encodes what a URI's path can't hold; what is encoded already stays."""
     return re.sub(r"%(?![0-9A-Fa-f]{2})", "%25", quote(path, safe="/:@!$&'()*+,;=-._~%"))

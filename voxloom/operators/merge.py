@@ -37,13 +37,10 @@ def write_region(
     """For every chunk that the region meets, ``supplier(position, existing value or null)`` gives
     its new value; null deletes the chunk. Chunks outside stay."""
     pos = [F.col(k) for k in keys]
-    inside = region.meets_block(pos, grid)
-    spark = existing.sparkSession
-    wanted = region.positions(spark.range(1), grid, prefix="__g")
-    wanted = wanted.select(*[F.col(f"__g{d}").alias(k) for d, k in enumerate(keys)])
-    met = wanted.join(existing.where(inside).select(*keys, value), list(keys), "left")
-    made = met.select(*keys, supplier(pos, F.col(value)).alias(value)).where(F.col(value).isNotNull())
-    return existing.where(~inside).select(*keys, value).unionByName(made)
+    wanted = region.table(existing.sparkSession, grid).withColumnsRenamed({f"g{d}": k for d, k in enumerate(keys)}).withColumn("__in", F.lit(True))
+    met = existing.select(*keys, value).join(wanted, list(keys), "full")
+    made = met.select(*keys, F.when(F.col("__in"), supplier(pos, F.col(value))).otherwise(F.col(value)).alias(value), "__in")
+    return made.where(F.col("__in").isNull() | F.col(value).isNotNull()).drop("__in")
 
 
 def delete_chunks(existing: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.grid import NestedGrid, Region, div, linear_index
+from voxloom.plans.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -97,9 +98,12 @@ class TensorFrame:
 
     def read_chunks(self, positions: DataFrame, order: str = "ord") -> DataFrame:
         """Chunks at the wanted positions (g0.., with their order), absent ones with a null array, repeated ones repeated."""
-        found = self.chunks().drop("n")
         g = self._names("g")
         wanted = positions.select(order, *g)
+        # only the cells of wanted chunks are shuffled and packed
+        asked = wanted.select(*[F.col(c).alias(f"w{d}") for d, c in enumerate(g)]).distinct()
+        same = [c == F.col(f"w{d}") for d, c in enumerate(self.grid.of_pixels(self.pixels()))]
+        found = replace(self, df=self.df.join(asked, same, "left_semi")).chunks().drop("n")
         return wanted.join(found, g, "left").select(order, *g, "data")
 
     def transpose(self, order: Sequence[int]) -> TensorFrame:
@@ -119,16 +123,20 @@ class TensorFrame:
 
     def nested_rank(self, positions: DataFrame, rank: str = "place") -> DataFrame:
         """Distinct chunk positions g0.. numbered from 1 in nested order: stored block by stored block,
-        last dimension first. Chunks are ranked within their block, and blocks by how many came before,
-        so that only one row for each block meets in one task."""
+        last dimension first. Chunks are ranked within their block; blocks are sorted in ranges, ranked in
+        each and raised by what the ranges before hold."""
         g, k = self._names("g"), self._names("k")
         pos = [F.col(c) for c in g]
         rows = positions.select(*g).distinct().withColumns(dict(zip(k, self.grid.key(pos), strict=True)))
         inner = [c for level in range(self.grid.top - 1, -1, -1) for c in reversed(self.grid.relative(pos, 0, level))] or [F.lit(0)]
         placed = rows.withColumn("__in", F.row_number().over(Window.partitionBy(*k).orderBy(*inner)))
         counts = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("__n"))
-        before = Window.orderBy(*reversed(k)).rowsBetween(Window.unboundedPreceding, -1)
-        bases = counts.select(*k, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+        ranges = stored(counts.repartitionByRange(*[F.col(c) for c in reversed(k)]).withColumn("__slice", F.spark_partition_id()), "nested-order")
+        sums = ranges.groupBy("__slice").agg(F.sum("__n").alias("__n"))  # a row for each partition
+        upto = sums.select(F.col("__slice"), F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+        before = Window.partitionBy("__slice").orderBy(*reversed(k)).rowsBetween(Window.unboundedPreceding, -1)
+        bases = ranges.withColumn("__within", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(F.broadcast(upto), "__slice")
+        bases = bases.select(*k, (F.col("__before") + F.col("__within")).alias("__base"))
         return placed.join(bases, k).select(*g, (F.col("__base") + F.col("__in")).cast("long").alias(rank))
 
     def shard_coverage(self, requests: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
-"""A folder for containers that a query writes and reads back."""
+"""Folders for what a query writes and reads back: containers, and intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -20,3 +20,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         base = _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="voxloom-"))
     base = base if "://" in base else "file://" + base.removeprefix("file:")
     return f"{base.rstrip('/')}/voxloom/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in a shared folder and read back, so that it is computed once."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

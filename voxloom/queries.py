@@ -17,7 +17,7 @@ from voxloom.operators import intervals, merge
 from voxloom.operators.tensor import TensorFrame
 from voxloom.plans.scratch import shared_folder
 from voxloom.sources import catalog
-from voxloom.sources.chunkstore import delete_chunks, read_chunks, write_chunks
+from voxloom.sources.chunkstore import delete_chunks, read_chunks, read_positions, write_chunks
 from voxloom.sources.codecs import Chain
 from voxloom.sources.dataset import Dataset, Shard
 from voxloom.sources.store import Container
@@ -131,18 +131,23 @@ def region_full_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("g0", "g1", region.fully_contains(g, t.grid).alias("inside"))
 
 
-@query("SELECT a AS g0, b AS g1, c AS g2 FROM (SELECT unnest(range(1, 4)) AS a), (SELECT unnest(range(0, 3)) AS b), (SELECT unnest(range(2, 6)) AS c)")
+@query("""SELECT n_nationkey, a AS g0, b AS g1, c AS g2 FROM nation, (SELECT unnest(range(1, 4)) AS a), (SELECT unnest(range(0, 3)) AS b), (SELECT unnest(range(2, 6)) AS c)
+          WHERE n_regionkey = 2 OR b = n_nationkey % 3""")
 def grid_positions_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of a box for the rows of a table, and of a table of their own, joined on one dimension."""
     grid = NestedGrid(((5, 7, 10),), (100, 21, 1000))
-    return Region((9, 0, 25), (8, 99, 30)).positions(spark.range(1), grid).drop("id")
+    box, nations = Region((9, 0, 25), (8, 99, 30)), table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    every = box.positions(nations.where("n_regionkey = 2"), grid)
+    some = nations.where("n_regionkey != 2").withColumn("g1", (F.col("n_nationkey") % 3).cast("long")).join(box.table(spark, grid), "g1")
+    return every.unionByName(some).drop("n_regionkey")
 
 
-@query("""WITH r AS (SELECT DISTINCT l_orderkey // 1000 AS g0 FROM lineitem WHERE l_quantity > 49.5 AND l_orderkey % 3 = 0),
+@query("""WITH r AS (SELECT DISTINCT l_orderkey // 1000 AS g0 FROM lineitem WHERE l_quantity > 49.5 AND l_returnflag = 'A'),
                n AS (SELECT (max(o_orderkey) + 1 + 999) // 1000 AS n FROM orders)
           SELECT g0 // 4 AS k0, count(*) AS requested, least(4, any_value(n) - (g0 // 4) * 4) AS chunks,
                  count(*) >= least(4, any_value(n) - (g0 // 4) * 4) AS covers FROM r, n GROUP BY 1""")
 def covers_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 49.5 and l_orderkey % 3 = 0")
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 49.5 and l_returnflag = 'A'")
     return orders_1d(spark, sf_dir).shard_coverage(lines.select(F.call_function("div", F.col("l_orderkey"), F.lit(1000)).alias("g0")))
 
 
@@ -169,14 +174,19 @@ def downsample_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings_2d(spark, sf_dir).downsample([8, 50], F.round(F.avg(F.col("value").cast("double")), 6)).df
 
 
-@query("""WITH p(id, p, q) AS (VALUES (0 :: BIGINT, [0,1,2], [2,1,0]), (1, [2,0,1], [1,2,0]), (2, [2,1,0], [0,2,1]))
-          SELECT id, list_transform(range(3), lambda i: (list_position(p, i) - 1) :: INTEGER) AS inverse,
+@query("""WITH p AS (SELECT vec_id AS id, list_transform(list_grade_up(embedding[1:4]), lambda i: (i - 1) :: INTEGER) AS p, list_transform(list_grade_up(embedding[5:8]), lambda i: (i - 1) :: INTEGER) AS q FROM embeddings)
+          SELECT id, list_transform(range(4), lambda i: (list_position(p, i) - 1) :: INTEGER) AS inverse,
                  list_transform(q, lambda i: p[i + 1]) AS joined,
-                 list_transform(list_reverse(p), lambda i: (2 - i) :: INTEGER) AS conjugate,
-                 p = [0,1,2] AS identity, p = [2,1,0] AS reversal FROM p""")
+                 list_transform(list_reverse(p), lambda i: (3 - i) :: INTEGER) AS conjugate,
+                 p = [0,1,2,3] AS identity, p = [3,2,1,0] AS reversal FROM p""")
 def permutation_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, [0, 1, 2], [2, 1, 0]), (1, [2, 0, 1], [1, 2, 0]), (2, [2, 1, 0], [0, 2, 1])]
-    df = spark.createDataFrame(rows, "id long, p array<int>, q array<int>")
+    """Permutations that sort the first and the next four elements of each vector."""
+
+    def grades(start: int) -> Column:
+        ranked = F.array_sort(F.transform(F.slice("embedding", start, 4), lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+        return F.transform(ranked, lambda r: r["i"])
+
+    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), grades(1).alias("p"), grades(5).alias("q"))
     p, q = F.col("p"), F.col("q")
     return df.select("id", invert_permutation(p).alias("inverse"), concatenate_permutations(p, q).alias("joined"), conjugate_with_reverse(p).alias("conjugate"), is_identity(p).alias("identity"), is_reversal(p).alias("reversal"))
 
@@ -205,10 +215,10 @@ def _chunk_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders_1d(spark, sf_dir).with_grid().groupBy("g0").agg(F.sum("value").alias("value"))
 
 
-@query(f"""WITH n AS (SELECT l_orderkey // 500 AS g0, max_by(l_quantity :: BIGINT, struct_pack(a := l_partkey, b := l_quantity :: BIGINT)) AS value FROM lineitem WHERE l_orderkey % 1000 < 500 GROUP BY 1)
+@query(f"""WITH n AS (SELECT l_orderkey // 500 AS g0, max_by(l_quantity :: BIGINT, struct_pack(a := l_partkey, b := l_quantity :: BIGINT)) AS value FROM lineitem GROUP BY 1)
            SELECT coalesce(n.g0, c.g0) AS g0, coalesce(n.value, c.value) AS value FROM {CHUNK_SUMS} c FULL JOIN n ON n.g0 = c.g0""")
 def write_chunks_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 1000 < 500")
+    lines = table(spark, sf_dir, "lineitem")
     new = lines.select(F.call_function("div", F.col("l_orderkey"), F.lit(500)).alias("g0"), F.col("l_quantity").cast("long").alias("value"), F.col("l_partkey").alias("ord"))
     return merge.write_chunks(_chunk_sums(spark, sf_dir), new, ["g0"], "value", "ord")
 
@@ -223,12 +233,13 @@ def write_region_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.write_region(_chunk_sums(spark, sf_dir), Region((2500,), (18000,)), NestedGrid(((1000,),)), "value", supplier, ["g0"])
 
 
-DOOMED = "(SELECT DISTINCT l_orderkey // 1000 AS g0 FROM lineitem WHERE l_orderkey % 3000 > 2500 OR l_orderkey < 4000)"
+# chunks whose lines have a low mean quantity
+DOOMED = "(SELECT l_orderkey // 1000 AS g0 FROM lineitem GROUP BY 1 HAVING 2 * sum(l_quantity) < 51 * count(*))"
 
 
 def _doomed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 3000 > 2500 or l_orderkey < 4000")
-    return lines.select(F.call_function("div", F.col("l_orderkey"), F.lit(1000)).alias("g0"))
+    by_chunk = table(spark, sf_dir, "lineitem").groupBy(F.call_function("div", F.col("l_orderkey"), F.lit(1000)).alias("g0"))
+    return by_chunk.agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n")).where("2 * q < 51 * n").select("g0")
 
 
 @query(f"SELECT c.g0, c.value FROM {CHUNK_SUMS} c WHERE NOT EXISTS (SELECT 1 FROM {DOOMED} d WHERE d.g0 = c.g0)")
@@ -334,21 +345,22 @@ def slice_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, json_extract(props, '$.k') :: BIGINT AS k, json_extract_string(props, '$.k') AS k_text, NULL :: VARCHAR AS missing FROM events""")
 def attr_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.col("props")
-    return table(spark, sf_dir, "events").select("event_id", attrs.get_column(p, "k", "bigint").alias("k"), attrs.get_column(p, "/k").alias("k_text"), attrs.get_column(p, "k/missing").alias("missing"))
+    e = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("p"))
+    get = lambda path, kind="string": attrs.get_column(F.col("p"), path, kind, parsed=True)
+    return e.select("event_id", get("k", "bigint").alias("k"), get("/k").alias("k_text"), get("k/missing").alias("missing"))
 
 
 @query("""SELECT event_id, event_id AS first, CASE WHEN event_id % 2 = 0 THEN CASE WHEN value = floor(value) THEN 'long' ELSE 'double' END ELSE 'string' END AS second_type,
-                 'boolean' AS third_type, 'object' AS a_type, 'array' AS b_type, event_type AS s FROM events""")
+                 'boolean' AS third_type, 'object' AS a_type, 'object[]' AS b_type, CASE WHEN value = floor(value) THEN 'long[]' ELSE 'double[]' END AS c_type, event_type AS s FROM events""")
 def attr_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     second = F.when(F.col("event_id") % 2 == 0, F.col("value").cast("string")).otherwise(F.lit('"x"'))
-    text = F.concat(F.lit('{"a":{"b":['), F.col("event_id").cast("string"), F.lit(","), second, F.lit(',true]},"s":"'), F.col("event_type"), F.lit('","n":null}'))
-    e = e.select("event_id", text.alias("j"))
-    j = F.col("j")
+    text = F.concat(F.lit('{"a":{"b":['), F.col("event_id").cast("string"), F.lit(","), second, F.lit(',true],"c":['), F.col("event_id").cast("string"), F.lit(","), F.col("value").cast("string"), F.lit(']},"s":"'), F.col("event_type"), F.lit('","n":null}'))
+    e = e.select("event_id", F.try_parse_json(text).alias("j"))
+    j, kind = F.col("j"), lambda path: attrs.type_column(F.col("j"), path, parsed=True)
     return e.select(
-        "event_id", attrs.get_column(j, "a/b[0]", "bigint").alias("first"), attrs.type_column(j, "a/b[1]").alias("second_type"), attrs.type_column(j, "/a/b[2]").alias("third_type"),
-        attrs.type_column(j, "a").alias("a_type"), attrs.type_column(j, "a/b").alias("b_type"), attrs.get_column(j, "s").alias("s"),
+        "event_id", attrs.get_column(j, "a/b[0]", "bigint", parsed=True).alias("first"), kind("a/b[1]").alias("second_type"), kind("/a/b[2]").alias("third_type"),
+        kind("a").alias("a_type"), kind("a/b").alias("b_type"), kind("a/c").alias("c_type"), attrs.get_column(j, "s", parsed=True).alias("s"),
     )
 
 
@@ -360,15 +372,34 @@ def attr_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", longs.alias("longs"), F.reverse(longs).alias("reversed"), attrs.type_column(F.col("j"), "l[2]").alias("kind"), attrs.get_column(F.col("j"), "/d", "array<double>").alias("doubles"))
 
 
-@query("SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT event_id, 'type', event_type FROM events")
+@query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"a":{"b":[0,' || user_id || ']}}' AS deep, '{"k":{"new":"' || event_type || '"}}' AS over,
+                 '[null,null,{"x":' || event_id || '}]' AS root FROM events""")
 def attr_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.explode(attrs.put_column(F.col("props"), "type", F.col("event_type"))).alias("name", "value"))
+    """Values set at paths of JSON texts: missing parents are made, unfit ones replaced."""
+    p, number = F.col("props"), lambda c: F.col(c).cast("string")
+    return table(spark, sf_dir, "events").select(
+        "event_id", attrs.set_column(p, "a/b[1]", number("user_id")).alias("deep"), attrs.set_column(p, "k/new", F.concat(F.lit('"'), "event_type", F.lit('"'))).alias("over"),
+        attrs.set_column(F.lit("5"), "[2]/x", number("event_id")).alias("root"),
+    )
 
 
-@query("SELECT event_id, 0 :: INTEGER AS members FROM events")
+@query("""WITH e AS (SELECT *, json_extract_string(props, '$.k') AS k FROM events)
+          SELECT event_id, '{"a":[' || event_id || ',{"y":2}]}' AS inner_gone, '{"k":' || k || ',"a":[{"x":' || user_id || ',"y":2}]}' AS moved_up, '{"k":' || k || '}' AS top_gone,
+                 '{"k":' || k || ',"a":[' || event_id || ',{"x":' || user_id || ',"y":2}]}' AS unchanged FROM e""")
 def attr_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.size(attrs.drop_column(F.col("props"), "k")).alias("members"))
+    """Nodes removed from JSON texts: members at any depth, elements whose followers move up, and what isn't there."""
+    text = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"a":['), F.col("event_id").cast("string"), F.lit(',{"x":'), F.col("user_id").cast("string"), F.lit(',"y":2}]}'))
+    e, j = table(spark, sf_dir, "events").select("event_id", text.alias("j")), F.col("j")
+    return e.select(
+        "event_id", attrs.remove_column(attrs.remove_column(j, "a[1]/x"), "k").alias("inner_gone"), attrs.remove_column(j, "/a[0]").alias("moved_up"),
+        attrs.remove_column(j, "a").alias("top_gone"), attrs.remove_column(j, "a[7]/x").alias("unchanged"),
+    )
+
+
+@query("""SELECT event_id, name, kind FROM (SELECT event_id, unnest(['k', 's', 'n', 'l', 'o']) AS name, unnest(['long', 'string', NULL, CASE WHEN value = floor(value) THEN 'long[]' ELSE 'double[]' END, 'object']) AS kind FROM events)""")
+def attr_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"s":"'), "event_type", F.lit('","n":null,"l":[1,'), F.col("value").cast("string"), F.lit('],"o":{}}'))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(attrs.list_types_column(text)).alias("name", "kind"))
 
 
 @query("SELECT (o_orderkey % 7) || '.' || (o_custkey % 3) || '.0' AS version, count(*) AS n, (o_orderkey % 7) <= 4 AS compatible, (o_custkey % 3) :: INTEGER AS minor FROM orders GROUP BY 1, 3, 4")
@@ -388,6 +419,20 @@ def uri_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", uri.container_column(u).alias("container"), uri.group_column(u).alias("grp"), uri.attribute_column(u).alias("attribute"))
 
 
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS u FROM pages)
+           SELECT page_id, '/x/' || list_aggregate(list_filter(string_split(u, '/'), lambda p: p <> ''), 'string_agg', '/') || '/[3]/y' AS path,
+                  'https://box.org/c?a/c' AS inside, 'https://other.org/' || page_id AS away, true AS absolute, 'a b/é+' AS grp FROM p""")
+def address_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribute paths normalised, addresses resolved against a base, escapes decoded."""
+    messy = F.concat(F.lit("/x/./"), F.regexp_extract("url", r"^https?://([^?#]*)", 1), F.lit("//q/..[3]/y/"))
+    base = F.concat(F.lit("https://box.org/c?a/b#at"), F.col("page_id").cast("string"))
+    other = F.concat(F.lit("https://other.org/"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", attrs.normalize_path_column(messy).alias("path"), uri.resolve_column(base, F.lit("?../c")).alias("inside"), uri.resolve_column(base, other).alias("away"),
+        uri.is_absolute_column(F.col("url")).alias("absolute"), uri.decoded_group_column(F.lit("x?a%20b/%C3%A9+#c")).alias("grp"),
+    )
+
+
 @query(r"SELECT page_id, list_aggregate(list_filter(string_split(regexp_extract(url, '^https?://([^?#]*)', 1), '/'), lambda p: p <> ''), 'string_agg', '/') AS path FROM pages")
 def group_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     messy = F.concat(F.lit("/./"), F.regexp_extract("url", r"^https?://([^?#]*)", 1), F.lit("//x/../."))
@@ -450,6 +495,24 @@ def listing_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(listing.any_entries(F.col("html"))).alias("entry"))
 
 
+@query("SELECT c_nationkey, c_name AS entry, c_acctbal < 0 AS is_group FROM customer")
+def listing_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing of each nation's customers, in one of three server styles; customers in debt are directories."""
+    styles, group = sorted(listing.STYLES), F.col("c_acctbal") < 0
+    style = F.element_at(F.array(*map(F.lit, styles)), (F.col("c_nationkey") % 3 + 1).cast("int"))
+    lines = {
+        "iis": F.concat(F.when(group, F.lit("1/1/2024 &lt;dir&gt; ")).otherwise("1/1/2024 117 "), F.lit('<A HREF="/'), "c_name", F.lit('">'), "c_name", F.lit("</A><br>")),
+        "apache": F.concat(F.lit('<img src="x" alt="['), F.when(group, F.lit("DIR")).otherwise("TXT"), F.lit(']"> <a href="'), "c_name", F.lit('">'), "c_name", F.lit("</a> 2024\n")),
+        "python": F.concat(F.lit('<li><a href="'), "c_name", F.when(group, F.lit('/">')).otherwise('">'), "c_name", F.when(group, F.lit("/</a></li>")).otherwise("</a></li>")),
+    }
+    line = F.coalesce(*[F.when(style == n, x) for n, x in lines.items()])
+    pages = table(spark, sf_dir, "customer").select("c_nationkey", style.alias("style"), line.alias("line")).groupBy("c_nationkey", "style").agg(F.array_join(F.collect_list("line"), "").alias("html"))
+    pick = lambda directories: F.coalesce(*[F.when(F.col("style") == n, listing.entries(F.col("html"), n, directories)) for n in styles])
+    found = pages.select("c_nationkey", F.explode(pick(False)).alias("entry"), pick(True).alias("groups"))
+    name = F.regexp_replace("entry", "/$", "")
+    return found.select("c_nationkey", name.alias("entry"), F.array_contains("groups", name).alias("is_group"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def event_time_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return time_chunks(table(spark, sf_dir, "events"), "ts", F.col("value"), "1 hour").withColumn("total", F.round("total", 4))
@@ -494,10 +557,41 @@ for _label, _chain in (("int64", []), ("uint32", [("gzip", {})]), ("int32", [("b
     query(ORDER_CELLS)(_roundtrip(_label, _chain, _name))
 
 
+#: Metadata of shards in shards: codecs of each level, and of the indexes, are nested in those of the level above.
+NESTED = {
+    "blockSize": [8000], "dataType": "int64",
+    "codecs": [{"name": "sharding_indexed", "configuration": {
+        "chunk_shape": [4000], "index_location": "start", "index_codecs": [{"name": "raw-bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}],
+        "codecs": [{"name": "sharding_indexed", "configuration": {
+            "chunk_shape": [1000], "index_codecs": [{"name": "raw-bytes", "configuration": {"endian": "big"}}],
+            "codecs": [{"name": "raw-bytes", "configuration": {"endian": "little"}}, {"name": "gzip", "configuration": {"level": 3}}, {"name": "crc32c"}],
+        }}],
+    }}],
+}
+
+
+@query(ORDER_CELLS)
+def roundtrip_nested_codecs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = orders_1d(spark, sf_dir)
+    dataset = Dataset.from_json(NESTED | {"dimensions": list(t.dims)})
+    assert dataset is not None and dataset.grid.block_sizes == ((1000,), (4000,), (8000,))
+    rows = t.chunks().select("g0", F.array(F.col("n").cast("int")).alias("size"), "data")
+    return _cells_1d(read_chunks(spark, _stored(spark, rows, dataset, "nested"), "data"))
+
+
+@query("""WITH c AS (SELECT o_orderkey // 1000 AS g0, list(o_custkey ORDER BY o_orderkey) AS data FROM orders GROUP BY 1)
+          SELECT ord, p.g0 AS g0, data FROM (SELECT c_custkey AS ord, c_custkey // 5 AS g0 FROM customer WHERE c_acctbal < 0) p LEFT JOIN c ON c.g0 = p.g0""")
+def read_stored_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks at the positions of a table, repeated and absent ones among them, read from a sharded dataset."""
+    folder, _ = _one_d(spark, sf_dir, "int64", [("lz4", {})], "positions", Shard((4000,), [("crc32c", {})]))
+    wanted = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("ord"), F.call_function("div", F.col("c_custkey"), F.lit(5)).alias("g0"))
+    return read_positions(wanted, folder, "data").select("ord", "g0", "data")
+
+
 @query(f"SELECT x0 :: BIGINT AS x0, x1, value FROM {EMBEDDING_CELLS}")
 def roundtrip_sharded_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = embeddings_2d(spark, sf_dir)
-    dataset = Dataset(t.dims, (16, 100), "float32", [("gzip", {})], (Shard((32, 200), [("crc32c", {})]),), order=(1, 0))
+    dataset = Dataset(t.dims, (16, 100), "float32", [("gzip", {})], (Shard((32, 200), [("crc32c", {})]),), arrays=[("transpose", {"order": [1, 0]})])
     height = F.least(F.lit(100), F.lit(t.dims[1]) - F.col("g1") * 100).cast("int")
     rows = t.chunks().select("g0", "g1", F.array(F.lit(16), height).alias("size"), F.col("n").cast("int").alias("num_elements"), "data")
     found = read_chunks(spark, _stored(spark, rows, dataset, "sharded"), "data")
@@ -546,6 +640,20 @@ def store_update_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells_1d(read_chunks(spark, folder, "data"))
 
 
+@query("""WITH c AS (SELECT o_orderkey // 1000 AS g0, count(*) AS n, list(o_custkey ORDER BY o_orderkey) AS data FROM orders GROUP BY 1),
+               s AS (SELECT *, data[1] <= data[n] AS stored, data[1] < data[2] AS gone FROM c)
+          SELECT g0 * 1000 + i AS x0, CASE WHEN stored THEN data[i + 1] + 1 ELSE 0 END AS value FROM (SELECT *, unnest(range(n)) AS i FROM s WHERE NOT (stored AND gone))""")
+def store_region_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region of which the supplier deletes some chunks, changes others, and makes those that are absent, once."""
+    t = orders_1d(spark, sf_dir)
+    dataset = Dataset(t.dims, (1000,), "int64", [("gzip", {})], (Shard((4000,)),))
+    some = t.chunks().where(F.element_at("data", 1) <= F.element_at("data", -1))
+    folder = _stored(spark, some.select("g0", F.array(F.col("n").cast("int")).alias("size"), "data"), dataset, "supplied")
+    zeros = lambda g0: F.array_repeat(F.lit(0).cast("long"), F.least(F.lit(1000), F.lit(t.dims[0]) - g0 * 1000).cast("int"))
+    update_region(spark, folder, "data", Region((0,), t.dims), lambda pos, old: F.when(old.isNull(), zeros(pos[0])).when(~(old[0] < old[1]), F.transform(old, lambda v: v + 1)))
+    return _cells_1d(read_chunks(spark, folder, "data"))
+
+
 @query("SELECT c_mktsegment AS path, NULL :: VARCHAR AS parent, 1 :: INTEGER AS depth, count(*) AS n FROM customer GROUP BY 1")
 def container_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A container with a group for each market segment, its attributes read back as a table."""

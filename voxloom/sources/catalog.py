@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from voxloom.sources.store import ATTRIBUTES
 
 
-def is_dataset_json(attributes: Column) -> Column:
-    """Whether attributes describe a dataset: dimensions, block size, type, and a codec of any generation."""
+def is_dataset_json(attributes: Column, weak: bool = False) -> Column:
+    """Whether attributes describe a dataset: dimensions, block size, type, and a codec of any generation;
+    with ``weak``, dimensions and a type are enough."""
     has = lambda key: F.get_json_object(attributes, f"$.{key}").isNotNull()
+    if weak:
+        return has("dimensions") & has("dataType")
     return has("dimensions") & has("blockSize") & has("dataType") & (has("codecs") | has("compression") | has("compressionType"))
 
 

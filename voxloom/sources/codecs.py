@@ -288,6 +288,35 @@ def transpose_block(block: Block, order: tuple[int, ...], inverse: bool = False)
     return Block(block.size, np.transpose(cube, turn).ravel(order="F"))
 
 
+@dataclass(frozen=True)
+class BlockCodec:
+    """Chunks as bytes: ``encode(block, label, chain, params)`` and ``decode(data, label, chain, size, params)``,
+    where ``size`` is the configured size of a chunk."""
+
+    encode: Callable[[Block, str, Chain, Params], bytes]
+    decode: Callable[[bytes, str, Chain, tuple[int, ...], Params], Block]
+
+
+@dataclass(frozen=True)
+class ArrayCodec:
+    """Changes the elements of a chunk before its bytes are made: ``encode(block, params)`` and ``decode``."""
+
+    encode: Callable[[Block, Params], Block]
+    decode: Callable[[Block, Params], Block]
+
+
+BLOCK_CODECS: dict[str, BlockCodec] = {
+    "default": BlockCodec(lambda b, label, chain, p: encode_block(b, label, chain), lambda d, label, chain, size, p: decode_block(d, label, chain)),
+    "raw-bytes": BlockCodec(
+        lambda b, label, chain, p: encode_raw_block(b, label, chain, p.get("endian", "big") == "little"),
+        lambda d, label, chain, size, p: decode_raw_block(d, label, chain, size, p.get("endian", "big") == "little"),
+    ),
+}
+ARRAY_CODECS: dict[str, ArrayCodec] = {
+    "transpose": ArrayCodec(lambda b, p: transpose_block(b, tuple(p["order"])), lambda b, p: transpose_block(b, tuple(p["order"]), inverse=True)),
+}
+
+
 ABSENT = (1 << 64) - 1
 
 

@@ -120,9 +120,9 @@ class HttpHandler(pafs.FileSystemHandler):
     create_dir = delete_dir = delete_dir_contents = delete_root_dir_contents = delete_file = move = copy_file = open_output_stream = open_append_stream = _read_only
 
 
-def http_filesystem(uri: str, timeout: float = TIMEOUT) -> tuple[pafs.FileSystem, str]:
+def http_filesystem(uri: str, timeout: float = TIMEOUT, styles: tuple[str, ...] = ("iis", "apache", "python")) -> tuple[pafs.FileSystem, str]:
     """File system and path of an http or https address."""
     m = re.match(r"^(https?://[^/]+)(/.*)?$", uri)
     if not m:
         raise StoreIOError(f"no HTTP address: {uri}")
-    return pafs.PyFileSystem(HttpHandler(m[1], timeout)), unquote(m[2] or "").strip("/")
+    return pafs.PyFileSystem(HttpHandler(m[1], timeout, styles)), unquote(m[2] or "").strip("/")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import posixpath
 import uuid
+from dataclasses import replace
 from typing import Any
 
 import pyarrow.fs as pafs
@@ -13,24 +14,33 @@ from voxloom.errors import AttributeParseError, AttributeTypeError, NoSuchKeyErr
 from voxloom.functions import attrs
 from voxloom.functions.uri import normalize_group
 from voxloom.functions.versions import CURRENT, Version
-from voxloom.sources.dataset import Dataset
+from voxloom.sources.dataset import CodecNames, Dataset
 
 ATTRIBUTES = "attributes.json"
+#: File systems of Arrow in which a write shows up as a whole or not at all, and a move is a copy.
+WHOLE_OBJECTS = ("s3", "gcs", "abfs")
 
 
-def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a location: a local path or any URI that Arrow's file systems read."""
+def filesystem(uri: str, **http: Any) -> tuple[pafs.FileSystem, str]:
+    """File system and path of a location: a local path or any URI that Arrow's file systems read.
+
+    ``http``: timeout in seconds and the styles of listings, for HTTP addresses."""
     if uri.startswith(("http://", "https://")):
         from voxloom.sources.http import http_filesystem
 
-        return http_filesystem(uri)
+        return http_filesystem(uri, **http)
     if "://" in uri or uri.startswith("file:"):
         return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri[5:])
     return pafs.LocalFileSystem(), posixpath.abspath(uri)
 
 
 def replace_file(fs: pafs.FileSystem, path: str, data: bytes) -> None:
-    """Writes a file beside its place and moves it there, so that no reader sees half of it."""
+    """Writes a file so that no reader sees half of it: beside its place and moved there, or at once
+    where a store only shows whole objects."""
+    if fs.type_name in WHOLE_OBJECTS:
+        with fs.open_output_stream(path) as f:
+            f.write(data)
+        return
     fs.create_dir(posixpath.dirname(path), recursive=True)
     temporary = f"{posixpath.dirname(path)}/.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(temporary) as f:
@@ -40,11 +50,12 @@ def replace_file(fs: pafs.FileSystem, path: str, data: bytes) -> None:
 
 class Container:
     """A container at a location. ``version_key`` is the root attribute that holds the format
-    version; pass the key that existing containers use."""
+    version, ``names`` are the names of codecs in metadata; pass those that existing containers
+    use. ``http`` are the options of ``filesystem``."""
 
-    def __init__(self, uri: str, create: bool = False, version_key: str = "formatVersion"):
-        self.uri, self.version_key = uri.rstrip("/"), version_key
-        self.fs, self.root = filesystem(self.uri)
+    def __init__(self, uri: str, create: bool = False, version_key: str = "formatVersion", names: CodecNames = CodecNames(), **http: Any):
+        self.uri, self.version_key, self.names = uri.rstrip("/"), version_key, names
+        self.fs, self.root = filesystem(self.uri, **http)
         there = self.fs.get_file_info(self.root).type == pafs.FileType.Directory
         if there:
             if not CURRENT.is_compatible(self.version()):
@@ -63,11 +74,21 @@ class Container:
         text = attrs.get(self.attributes(""), self.version_key)
         return Version.parse(text if isinstance(text, str) else None)
 
+    def set_version(self, version: Version = CURRENT) -> None:
+        """Notes the version of the format, unless data of a newer one are there."""
+        if not version.is_compatible(self.version()):
+            raise StoreIOError(f"version {self.version()} can't be used by {version}")
+        self.set_attribute("", self.version_key, str(version))
+
     # groups
     def group_exists(self, group: str) -> bool:
         return self.fs.get_file_info(self._path(group)).type == pafs.FileType.Directory
 
-    def dataset_exists(self, group: str) -> bool:
+    def dataset_exists(self, group: str, weak: bool = False) -> bool:
+        """Whether a group is a dataset; with ``weak``, dimensions and a data type are enough."""
+        if weak:
+            node = self.attributes(group)
+            return isinstance(node, dict) and node.get("dimensions") is not None and node.get("dataType") is not None
         return self.dataset(group) is not None
 
     def exists(self, group: str) -> bool:
@@ -145,11 +166,17 @@ class Container:
 
     # datasets
     def dataset(self, group: str) -> Dataset | None:
-        return Dataset.from_json(self.attributes(group))
+        return Dataset.from_json(self.attributes(group), self.names)
 
     def create_dataset(self, group: str, dataset: Dataset) -> None:
         self.create_group(group)
-        self.set_attributes(group, {"/" + k: v for k, v in dataset.to_json().items()})
+        self.set_dataset(group, dataset)
+
+    def set_dataset(self, group: str, dataset: Dataset) -> None:
+        """Replaces the metadata of a dataset; other attributes of its group and stored blocks stay."""
+        for key in ("codecs", "compression", "compressionType", "defaultValue"):
+            self.remove_attribute(group, "/" + key)
+        self.set_attributes(group, {"/" + k: v for k, v in replace(dataset, names=self.names).to_json().items()})
 
     # stored blocks
     def block_path(self, group: str, key: tuple[int, ...]) -> str:

@@ -7,19 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.errors import StoreError
 from voxloom.functions.grid import NestedGrid, Region
 from voxloom.operators.tensor import TensorFrame
-from voxloom.sources.chunkstore import chunk_schema, delete_chunks, read_chunks, write_chunks
+from voxloom.sources.chunkstore import apply_staged, chunk_schema, dataset_of, read_chunks, stage_changes, write_chunks
 from voxloom.sources.dataset import Dataset
 from voxloom.sources.store import Container
 
 
 def _dataset(uri: str, group: str) -> Dataset:
-    found = Container(uri).dataset(group)
-    if found is None:
-        raise StoreError(f"no dataset {group} in {uri}")
-    return found
+    return dataset_of(Container(uri), group)
 
 
 def open_tensor(spark: SparkSession, uri: str, group: str, region: Region | None = None) -> TensorFrame:
@@ -43,8 +39,11 @@ def open_tensor(spark: SparkSession, uri: str, group: str, region: Region | None
 
 
 def write_cells(tensor: TensorFrame, uri: str, group: str, fill: Column | None = None) -> None:
-    """Writes cells as chunks cut at the dataset's edge; absent cells of a chunk become zero or ``fill``."""
+    """Writes cells as chunks cut at the dataset's edge; absent cells of a chunk become ``fill``, by default the
+    dataset's default value, or zero."""
     ds = _dataset(uri, group)
+    if fill is None and ds.fill is not None:
+        fill = F.lit(ds.fill)
     kind = chunk_schema(ds)["data"].dataType.elementType
     cells = tensor.df.withColumn("value", F.col("value").cast(kind))
     blocks = TensorFrame(cells, NestedGrid((ds.chunk,), ds.dims)).dense_blocks(0, fill.cast(kind) if fill is not None else None)
@@ -56,15 +55,15 @@ def update_region(spark: SparkSession, uri: str, group: str, region: Region, sup
     """For every chunk that the region meets, ``supplier(position, data or null)`` gives its new
     data; null deletes the chunk, and a stored block that loses all its chunks vanishes.
 
-    New chunks have the size of the grid's cell, cut at the dataset's edge. The deletes run
-    before the writes; each chunk's new data depend on its own old data only."""
+    New chunks have the size of the grid's cell, cut at the dataset's edge. The supplier decides
+    once, on what was stored before anything changes; its decisions are written down, and then
+    each stored block changes as a whole, its deletes and writes at once."""
     ds = _dataset(uri, group)
     n = len(ds.dims)
     g = [f"g{d}" for d in range(n)]
-    wanted = region.positions(spark.range(1), ds.grid).select(*g)
+    wanted = region.table(spark, ds.grid)
     met = wanted.join(read_chunks(spark, uri, group, region).select(*g, "size", "data"), g, "left")
     full = F.array(*[F.least(F.lit(c), F.lit(m) - F.col(f"g{d}") * c).cast("int") for d, (c, m) in enumerate(zip(ds.chunk, ds.dims, strict=True))])
     made = met.select(*g, F.coalesce("size", full).alias("size"), F.col("data").isNotNull().alias("was"), supplier([F.col(c) for c in g], F.col("data")).alias("data"))
-    delete_chunks(made.where("was and data is null").select(*g), uri, group)
-    new = made.where("data is not null").withColumn("num_elements", F.size("data"))
-    write_chunks(new.select(*g, "size", "num_elements", "data"), uri, group)
+    _, folder = stage_changes(made.where("was or data is not null").drop("was"), "region-changes")
+    apply_staged(spark, folder, uri, group)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from voxloom.operators.merge import last_wins
 from voxloom.sources.chunkstore import write_chunks
 
 
@@ -22,7 +21,6 @@ def upsert_stream(chunks: DataFrame, uri: str, group: str, checkpoint: str, orde
     """Writes a stream of chunk rows into a dataset, the last of each micro-batch by ``order`` winning."""
 
     def write(batch: DataFrame, _: int) -> None:
-        keys = [c for c in batch.columns if c[0] == "g" and c[1:].isdigit()]
-        write_chunks(last_wins(batch, keys, order, "size", "num_elements", "data"), uri, group)
+        write_chunks(batch, uri, group, order)
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
