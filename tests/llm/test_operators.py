@@ -2,15 +2,19 @@
 
 import hashlib
 import json
+import math
 import random
 import re
+import struct
 import time
 import zlib
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA, same_rows
@@ -381,7 +385,7 @@ def test_odd_conversations(spark):
 # 4 pieces
 
 
-def test_pieces(spark, odd, empty):
+def test_pieces(spark, odd, empty, texts):
     m = load_model(tok("piece_bpe_32k.model"))
     score = {m.names[i]: m.scores[i] for i in m.own}
 
@@ -406,6 +410,9 @@ def test_pieces(spark, odd, empty):
         found = segment_texts(m, ["x" * length], 4)[0]
         assert time.perf_counter() - began < 30 and len({x.tobytes() for _, x in found}) == 4 and all(m.decode(x) == b"x" * length for _, x in found)
         assert [s for s, _ in found] == plain("x" * length, 4)
+    short = {i: t for i, t in texts if len(t or "") < 2500}
+    best = {r.doc_id: [x.score for x in r.nbest] for r in queries.op4_piece_nbest(spark, DATA).collect() if r.doc_id in short}
+    assert best == {i: plain(t or "", 4) if t else [0.0] for i, t in short.items()}
     rows = segment_nbest(odd, tok("piece_bpe_32k.model"), n=3, with_ids=True)
     for r in rows.collect():
         assert r.round_trip and r.n_pieces == len(r.ids) == r.nbest[0].n_pieces and [x.score for x in r.nbest] == sorted((x.score for x in r.nbest), reverse=True)
@@ -530,12 +537,31 @@ def test_digest_index_grows(spark):
     index.flush(spark.createDataFrame([("aa", 5), ("bb", 6)], "digest string, id long"))
     index.flush(spark.createDataFrame([("aa", 3), ("aa", 9)], "digest string, id long"))
     assert sorted(map(tuple, index.compact().collect())) == [("aa", 3, 3), ("bb", 6, 1)]
-    hits = spark.createDataFrame([(f"{i:08x}",) for i in range(0, 4_000_000, 4_321)], "digest string")
-    bits = DigestIndex.hit_filter(hits)
-    rows = spark.createDataFrame([(f"{i:08x}", i) for i in range(0, 4_000_000, 1_440)], "digest string, id long")
-    passed = {r.digest for r in DigestIndex.may_hit(rows, bits).collect()}
-    wanted = {r.digest for r in hits.collect()}
-    assert {r.digest for r in rows.collect()} & wanted <= passed and len(passed - wanted) < 100
+    index.flush(spark.createDataFrame([("aa", 1), ("cc", 2)], "digest string, id long"))
+    assert sorted(map(tuple, index.lookup(["aa", "cc", "dd"]).collect())) == [("aa", 1, 1), ("aa", 3, 3), ("cc", 2, 1)]
+    assert sorted(map(tuple, index.compact().collect())) == [("aa", 1, 4), ("bb", 6, 1), ("cc", 2, 1)] and index.runs().count() == 6
+    assert [tuple(r) for r in index.lookup(["aa"]).collect()] == [("aa", 1, 4)]
+
+
+@pytest.mark.parametrize("pages", [1, 8])
+def test_filter_of_hits(spark, pages):
+    digest = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    hits = spark.createDataFrame([(digest(i),) for i in range(0, 3000, 3)], "digest string")
+    bits = DigestIndex.hit_filter(hits, pages)
+    rows = spark.createDataFrame([(digest(i), i) for i in range(3000)], "digest string, id long")
+    passed = {r.id for r in DigestIndex.may_hit(rows, bits, pages).collect()}
+    assert set(range(0, 3000, 3)) <= passed and len(passed) < 1000 + 2000 * 1.5 * 1000 / (pages * 32768)
+    assert [DigestIndex.filter_pages(n) for n in (0, 1, 4096, 8193, 10**12)] == [1, 1, 1, 2, 16384]
+
+
+def test_stashes_are_released(spark):
+    from voxloom.llm.scratch import new_folder, release, shared_dir, stash
+
+    stash(spark.range(3), "some").count()
+    folder = Path(new_folder(spark, "x").removeprefix("file://")).parent
+    assert any(folder.iterdir()) and str(folder).startswith(shared_dir(spark).removeprefix("file://"))
+    release(spark)
+    assert not folder.exists()
 
 
 # 8 sharding
@@ -552,6 +578,17 @@ def test_sharding(spark, odd, empty, documents):
         for r in got:
             text = (sizes[r.doc_id] or "").encode()
             assert (r.size, r.text_crc32) == (len(text) + 1, zlib.crc32(text))
+        for r in got:  # the winners, by a plain loop; spark's hash of a key and a number is XXH64 seeded with 42, then with its result
+
+            def best(weights):
+                scores = []
+                for i, w in enumerate(weights):
+                    h = 42 if r.doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42)
+                    h = xxhash.xxh64_intdigest(struct.pack("<i", i), h)
+                    scores.append((w / -math.log(((h >> 11) + 0.5) / 2**53), -i))
+                return -max(scores)[1]
+
+            assert (r.shard, r.grown_shard) == (best([1.0] * 8), best([1.0] * 9))
     assert assign_shards(empty, [1.0] * 8).count() == 0
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     shares = {r.shard: r["count"] / 20_000 for r in assign_shards(many, [1.0, 2.0, 5.0], new_weight=1.0).groupBy("shard").count().collect()}
@@ -590,6 +627,30 @@ def test_training_is_repeatable_and_bounded():
     assert train([], []) is None
 
 
+def test_scores_against_a_plain_loop(documents):
+    from voxloom.llm.textcols import _MIX1, _MIX2
+
+    def mix(x):
+        mask = (1 << 64) - 1
+        x ^= x >> 30
+        x = x * int(_MIX1) & mask
+        x ^= x >> 27
+        x = x * int(_MIX2) & mask
+        return x ^ x >> 31
+
+    rows = [r for r in documents.select("doc_id", "text", "lang").limit(60).collect() if r.text and len(r.text) < 3000]
+    model = train([r.text for r in rows], [r.lang or "none" for r in rows], Settings(buckets=1 << 12))
+    for r in rows[:20]:
+        data = r.text.encode().lower() if r.text.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in r.text.encode())
+        total, n = np.zeros(len(model.labels)), 0
+        for order in (2, 3, 4):
+            for i in range(len(data) - order + 1):
+                total += model.table[mix(int.from_bytes(data[i : i + order], "big") + (order << 40)) % (1 << 12)]
+                n += 1
+        score = np.exp((total / n + model.bias) / model.temperature)
+        assert np.allclose(model.probabilities(pa.array([r.text]))[0], score / score.sum(), atol=1e-5)
+
+
 def test_rare_labels_and_long_texts_are_learned(spark):
     rows = [(i, f"the cat {i} sat on the mat", "en") for i in range(3000)] + [(i, f"die Katze {i} sitzt auf der Matte", "de") for i in range(3000, 3030)]
     rows += [(i, "12 " * 2000 + f"le chat {i} est assis sur le tapis " * 300, "fr") for i in range(3030, 3090)]

@@ -3,21 +3,25 @@
 Level 0 holds sorted runs of (digest, id), one per task's memtable, written with
 Parquet bloom filters on the digest. Compaction merges all runs into one sorted
 run with one entry per digest: the identifier that stays and the number of rows.
-Digests with more than one row are hits; a bitmap filter of fixed size picks the
-texts that can belong to a hit, and only these are shuffled to be compared byte
-by byte with the text that stays."""
+Digests with more than one row are hits; a bitmap filter, sized by their number,
+picks the texts that can belong to a hit, and only these are shuffled to be compared
+byte by byte with the text that stays. Later flushes are merged with the run that the
+last compaction left, and single digests are looked up through the Parquet filters."""
 
 from __future__ import annotations
 
 import string
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm.scratch import new_folder, stash
 
-#: The filter has FILTER_PAGES bitmaps of 32,768 bits each (4 KB): 4 MB in all, whatever the input.
-FILTER_PAGES = 1024
+#: The filter consists of bitmaps of 32,768 bits (4 KB), enough for FILTER_BITS bits a hit, but no more than
+#: MOST_PAGES (64 MB). Beyond 67 million hits it passes more and more other texts, which costs their shuffle only.
+MOST_PAGES = 16384
+FILTER_BITS = 8
 _PAGE_BITS = 32768
 
 
@@ -27,10 +31,10 @@ def ascii_lower(text: Column) -> Column:
     return F.when(pure, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def _bits(digest: Column) -> tuple[Column, Column]:
-    """Page and bit of a digest in the filter, from its first eight hex digits."""
-    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    return (number % FILTER_PAGES).cast("int"), (F.floor(number / FILTER_PAGES) % _PAGE_BITS).cast("long")
+def _bits(digest: Column, pages: int) -> tuple[Column, Column]:
+    """Page and bit of a digest in a filter of so many pages, from its first fourteen hex digits."""
+    number = F.conv(F.substring(digest, 1, 14), 16, 10).cast("long")
+    return (number % pages).cast("int"), (F.call_function("div", number, F.lit(pages)) % _PAGE_BITS).cast("long")
 
 
 class DigestIndex:
@@ -42,7 +46,7 @@ class DigestIndex:
             raise ValueError("keep must be min or max")
         self.spark, self.keep, self.folder = spark, keep, folder or new_folder(spark, "digests")
         self._schema = "digest string, id long, n long"
-        self._flushes = self._merges = 0
+        self._flushes = self._merges = self._merged = 0
 
     def flush(self, rows: DataFrame) -> None:
         """Adds (digest, id) rows as level-0 runs: each task sorts its memtable and writes it; nothing is shuffled."""
@@ -60,34 +64,49 @@ class DigestIndex:
         paths = [f"{self.folder}/level0-{i}" for i in range(self._flushes)]
         return self.spark.read.schema(self._schema).parquet(*paths)
 
+    def _pending(self) -> list[str]:
+        """The last compacted run, and the level-0 runs flushed since."""
+        last = [f"{self.folder}/level1-{self._merges - 1}"] if self._merges else []
+        return last + [f"{self.folder}/level0-{i}" for i in range(self._merged, self._flushes)]
+
     def compact(self) -> DataFrame:
-        """Merges all runs into one sorted run: digest, id (the one that stays), n (its rows).
+        """Merges the last compacted run and all runs flushed since into one sorted run: digest,
+        id (the one that stays), n (its rows).
 
         Null identifiers lose to all others. Map-side aggregation leaves at most one
         entry per task of a digest, however many rows share it."""
         best = F.min("id") if self.keep == "min" else F.max("id")
         path = f"{self.folder}/level1-{self._merges}"
-        merged = self.runs().groupBy("digest").agg(best.alias("id"), F.sum("n").alias("n"))
+        merged = self.spark.read.schema(self._schema).parquet(*self._pending()).groupBy("digest").agg(best.alias("id"), F.sum("n").alias("n"))
         merged.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").option(
             "parquet.bloom.filter.adaptive.enabled", "true"
         ).parquet(path)
-        self._merges += 1
+        self._merges, self._merged = self._merges + 1, self._flushes
         return self.spark.read.schema(self._schema).parquet(path)
 
+    def lookup(self, digests: Sequence[str]) -> DataFrame:
+        """Entries (digest, id, n) of a few digests, compacted or not: the filters of the runs and
+        their order let Parquet skip whatever holds none of them."""
+        return self.spark.read.schema(self._schema).parquet(*self._pending()).where(F.col("digest").isin(list(digests)))
+
+    @staticmethod
+    def filter_pages(hits: int) -> int:
+        return min(MOST_PAGES, 1 << (max(1, hits * FILTER_BITS // _PAGE_BITS) - 1).bit_length())
+
     @staticmethod
-    def hit_filter(hits: DataFrame) -> DataFrame:
-        """page, bits: a filter of at most FILTER_PAGES rows of 4 KB that passes every digest of ``hits``."""
-        page, bit = _bits(F.col("digest"))
+    def hit_filter(hits: DataFrame, pages: int) -> DataFrame:
+        """page, bits: a filter of at most ``pages`` rows of 4 KB that passes every digest of ``hits``."""
+        page, bit = _bits(F.col("digest"), pages)
         return hits.select(page.alias("page"), bit.alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
     @staticmethod
-    def may_hit(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    def may_hit(rows: DataFrame, bits: DataFrame, pages: int) -> DataFrame:
         """The rows whose digest passes the filter; a few others pass by chance."""
-        page, bit = _bits(F.col("digest"))
+        page, bit = _bits(F.col("digest"), pages)
         rows = rows.withColumns({"page": page, "bit": bit})
         byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
         passes = F.expr("(shiftright(byte, cast(bit % 8 as int)) & 1) = 1")
-        # at most FILTER_PAGES rows of 4 KB: broadcasting them is bounded by 4 MB
+        # at most MOST_PAGES rows of 4 KB: broadcasting them is bounded by 64 MB
         return rows.join(F.broadcast(bits), "page").withColumn("byte", byte).where(passes).drop("page", "bit", "bits", "byte")
 
 
@@ -108,7 +127,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     merged = index.compact()
     hits = merged.where("n > 1")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.sha2(text, 256).alias("digest"), text.alias("body"))
-    texts = stash(index.may_hit(texts, index.hit_filter(hits)), "hit-texts")
+    pages = index.filter_pages(hits.count())
+    texts = stash(index.may_hit(texts, index.hit_filter(hits, pages), pages), "hit-texts")
     stays = texts.join(hits.select("digest", "id"), ["digest", "id"]).select("digest", F.col("body").alias("kept_body"))
     # rows repeated with the id that stays carry one body each; equal ones collapse before the comparison
     stays = stash(stays.groupBy("digest").agg(F.min("kept_body").alias("kept_body")), "kept-texts")

@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.llm.components import components
-from voxloom.llm.scratch import stash
+from voxloom.llm.scratch import partitions_for, stash
 from voxloom.llm.textcols import mix64, shingle_sets, utf8
 
 #: Texts are cut into sets in slices of so many bytes; a flush holds about so many shingles.
 SLICE_BYTES = 4 << 20
 FLUSH_SHINGLES = 2 << 20
-#: Shingles in a bucket of the count, on average.
+#: Shingles in a bucket of the count, on average; there are as many buckets as that takes.
 BUCKET_SHINGLES = 1 << 20
+#: Bytes of a shingle in the shuffle, with its share of its set's row.
+SHUFFLED_BYTES = 16
 #: Shingles that one set in so many has are known to all tasks; there are at most so many times the mean set size of them.
 HEAVY_SHARE = 1024
 #: Rounds of stars, and the pivots of a list in each.
@@ -109,9 +111,11 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, seed: int
     return rows.mapInArrow(run, "id long, n long, sid long, other long, key long, seen long")
 
 
-def _shared_shingles(df: DataFrame, text_col: str, words: int, seed: int, buckets: int, heavy_keys: np.ndarray, heavy_seen: np.ndarray) -> DataFrame:
-    """sid, n, first, keys: per set that can have a partner its shared shingles, rarest first; ``first`` is their first position."""
+def _shared_shingles(df: DataFrame, text_col: str, words: int, seed: int, buckets: int, total: int, heavy_keys: np.ndarray, heavy_seen: np.ndarray) -> DataFrame:
+    """sid, n, first, keys: per set that can have a partner its shared shingles, rarest first; ``first`` is their first
+    position. ``total`` shingles are shuffled, in tasks of bounded size however many these are."""
     bits = buckets.bit_length() - 1
+    rest = -(-(64 - bits) // 8)
     shared = df.sparkSession.sparkContext.broadcast((heavy_keys, heavy_seen))
     u64, names = np.uint64, ["bucket", "heavy", "sids", "sizes", "runs", "keys", "seen"]
     schema = "bucket int, heavy boolean, sids binary, sizes binary, runs binary, keys binary, seen binary"
@@ -162,12 +166,12 @@ def _shared_shingles(df: DataFrame, text_col: str, words: int, seed: int, bucket
                 pick = np.flatnonzero(is_heavy)[order]
                 yield packed(home[order], True, sid[pick], n[pick], key[pick], often_seen[at[pick]])
             pick = np.flatnonzero(~is_heavy)
-            bucket = (key[pick] >> u64(64 - bits)).astype(np.uint16)
+            bucket = (key[pick] >> u64(64 - bits)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             pick = pick[order]
-            # the bucket gives the first bits; six bytes more tell shingles apart
-            low = (key[pick] << u64(bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            yield packed(bucket[order].astype(np.int32), False, sid[pick], n[pick], np.ascontiguousarray(low).view("V6").ravel(), None)
+            # the bucket gives the first bits; the bytes of the others follow
+            low = (key[pick] << u64(bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :rest]
+            yield packed(bucket[order], False, sid[pick], n[pick], np.ascontiguousarray(low).view(f"V{rest}").ravel(), None)
 
         for part in _slices(batches, 0):
             values, offsets = shingle_sets(part.column(0), words)
@@ -189,7 +193,7 @@ def _shared_shingles(df: DataFrame, text_col: str, words: int, seed: int, bucket
         sid, n, raw, _ = opened(table)
         bucket = u64(table.column("bucket")[0].as_py())
         wide = np.zeros((len(sid), 8), np.uint8)
-        wide[:, :6] = raw.reshape(-1, 6)
+        wide[:, :rest] = raw.reshape(-1, rest)
         key = (wide.view(">u8").ravel().astype(u64) >> u64(bits)) | (bucket << u64(64 - bits))
         order = np.argsort(key)
         same = np.zeros(len(order) + 1, bool)
@@ -229,8 +233,9 @@ def _shared_shingles(df: DataFrame, text_col: str, words: int, seed: int, bucket
     def counted(key: tuple, table: pa.Table) -> pa.Table:
         return table if key[1].as_py() else count(table)
 
-    sent = sent.groupBy("bucket", "heavy").applyInArrow(counted, schema)
-    return sent.groupBy("bucket").applyInArrow(gather, "sid long, n long, first long, keys binary")
+    parts = partitions_for(df.sparkSession, total * SHUFFLED_BYTES)
+    sent = sent.repartition(parts, "bucket", "heavy").groupBy("bucket", "heavy").applyInArrow(counted, schema)
+    return sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(gather, "sid long, n long, first long, keys binary")
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -356,7 +361,9 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in a component of another's id, or of null. Only the two columns named are read.
 
     Sets are told apart by 64-bit digests, checked against a second digest; if two sets
-    ever share the first, all digests are drawn anew."""
+    ever share the first, all digests are drawn anew. Shingles are told apart by 64-bit hashes:
+    of n different ones, about n * n / 2 ** 65 pairs share one by chance (10 ** 10 shingles: 3),
+    and such a pair adds one to an overlap of two sets that hold its two."""
     for seed in range(8):
         found = stash(signatures(df, id_col, text_col, words, seed), "signatures")
         texts = found.where("n is not null").select("id", "n", "sid", "other")
@@ -374,8 +381,8 @@ def ngram_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         heavy = heavy.toArrow().sort_by("key")
         keys, seen = heavy["key"].to_numpy().view(np.uint64), heavy["seen"].to_numpy()
         order = np.argsort(keys)
-        buckets = 1 << min(16, max(6, int(total["n"] // BUCKET_SHINGLES).bit_length()))
-        sets = stash(_shared_shingles(df, text_col, words, seed, buckets, keys[order], np.minimum(seen[order], 2**32 - 1).astype(np.uint32)), "shared")
+        buckets = 1 << min(30, max(8, int(total["n"] // BUCKET_SHINGLES).bit_length()))
+        sets = stash(_shared_shingles(df, text_col, words, seed, buckets, total["n"], keys[order], np.minimum(seen[order], 2**32 - 1).astype(np.uint32)), "shared")
 
         def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

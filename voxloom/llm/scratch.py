@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What one task reads of a shuffle whose size is known.
+PARTITION_BYTES = 64 << 20
 _own: dict[str, str] = {}
 
 
@@ -24,8 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="voxloom-"))
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/voxloom/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/voxloom/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application. Results that haven't been written yet are lost."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def partitions_for(spark: SparkSession, size: int) -> int:
+    """Partitions for a shuffle of so many bytes: those of the session, or more where they would exceed PARTITION_BYTES."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
 
 
 def stash(df: DataFrame, name: str, codec: str = "zstd", **options: str) -> DataFrame:
