@@ -100,3 +100,51 @@ def repeated_words(texts, size):
             if len(homes[tuple(w[k : k + size])]) > 1:
                 out[i][k : k + size] = [True] * size
     return out
+
+
+def demultiplex(stream):
+    """(payload, timestamps, random-access units) of a transport stream of one program, packet by packet, as the standard has it."""
+
+    def checksum(data):
+        rest = int.from_bytes(b"\xff\xff\xff\xff", "big")
+        for byte in data:
+            for bit in range(7, -1, -1):
+                top = (rest >> 31) ^ (byte >> bit & 1)
+                rest = (rest << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if top else 0)
+        return rest
+
+    def section(packet):
+        body = packet[5 + packet[4] :] if packet[3] & 0x20 == 0 else None
+        size = 3 + ((body[1] & 0x0F) << 8 | body[2])
+        assert checksum(body[:size]) == 0
+        return body[8 : size - 4]
+
+    number = lambda two: (two[0] & 0x1F) << 8 | two[1]
+    tables, wanted, counters, units = None, None, {}, []
+    for at in range(0, len(stream), 188):
+        packet = stream[at : at + 188]
+        assert packet[0] == 0x47 and len(packet) == 188
+        pid, start, has_extra, has_data = number(packet[1:3]), packet[1] & 0x40, packet[3] & 0x20, packet[3] & 0x10
+        assert has_data and (pid not in counters or packet[3] & 15 == (counters[pid] + 1) % 16)
+        counters[pid] = packet[3] & 15
+        if pid == 0:
+            found = section(packet)
+            tables = next(number(found[i + 2 : i + 4]) for i in range(0, len(found), 4) if found[i : i + 2] != b"\0\0")
+        elif pid == tables:
+            found = section(packet)
+            wanted = number(found[4 + number(found[2:4]) % 4096 :][1:3])
+        elif pid == wanted:
+            data = packet[5 + packet[4] :] if has_extra else packet[4:]
+            if start:
+                units.append([bytearray(), bool(has_extra and packet[4] and packet[5] & 0x40)])
+            units[-1][0] += data
+    payload, stamps = b"", []
+    for data, _ in units:
+        assert data[:3] == b"\0\0\1" and data[7] & 0x80
+        size = data[4] << 8 | data[5]
+        assert size in (0, len(data) - 6)
+        a, b, c, d, e = data[9:14]
+        assert a & 1 and c & 1 and e & 1
+        stamps.append((a >> 1 & 7) << 30 | b << 22 | (c >> 1) << 15 | d << 7 | e >> 1)
+        payload += bytes(data[9 + data[8] :])
+    return payload, stamps, [r for _, r in units]

@@ -487,6 +487,7 @@ def test_streams_round_trip():
         s = report.streams[0]
         assert s.data == payload and not (report.bad_sections or report.skipped_bytes or s.lost or s.repeated) and all(s.random_access)
         assert s.pts == [3600 * i for i in range(len(s.pts))]
+        assert brute.demultiplex(write_stream(payload)) == (payload, s.pts, s.random_access)
 
 
 def test_damaged_streams():
@@ -508,6 +509,7 @@ def test_media_columns(spark, odd, empty):
         text = (row[1] or "").encode()
         payload = padded(text)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert brute.demultiplex(write_stream(payload))[0] == payload
         assert r.media_sha256 == hashlib.sha256(write_stream(payload)).hexdigest()
     units = access_units(stored, "doc_id", "media").where("doc_id = 5").orderBy("unit").collect()
     assert b"".join(u.data for u in units) == padded(LONG.encode()) and all(u.random_access for u in units)

@@ -1,5 +1,8 @@
 """The pipeline's stages against plain versions of them."""
 
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -35,6 +38,18 @@ def test_stages(spark):
     total = sum(len(encode(t or "")) + 1 for t in kept.values())
     pieces = corpus_pipeline.packing(spark, docs, DATA)
     assert pieces.agg(F.sum("length")).first()[0] == total
+    by_doc, at = {}, 0
+    for p in sorted(pieces.collect(), key=lambda p: (p.sequence_id, p.offset)):  # the pieces tile the sequences and the documents
+        assert p.sequence_id * 1024 + p.offset == at and p.offset + p.length <= 1024
+        at += p.length
+        by_doc.setdefault(p.doc_id, []).append((p.start, p.length, p.ids_crc32))
+    assert set(by_doc) == set(kept)
+    for i, found in by_doc.items():
+        ids, begin = np.append(encode(kept[i] or ""), 0).astype("<u4"), 0
+        for start, length, crc in sorted(found):
+            assert start == begin and crc == zlib.crc32(ids[start : start + length].tobytes())
+            begin += length
+        assert begin == len(ids)
     assert corpus_pipeline.run(spark, DATA).agg(F.sum("length")).first()[0] == total
 
 
