@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from voxloom.errors import AttributeParseError, AttributeTypeError, NoSuchKeyError, StoreError, StoreIOError
 from voxloom.functions.grid import NestedGrid, Region
 from voxloom.operators import intervals
+from voxloom.operators.scans import Scan
 from voxloom.functions.versions import CURRENT, Version
 from voxloom.operators.tensor import TensorFrame
 from voxloom.sources import catalog, codecs
@@ -283,6 +284,28 @@ def test_intervals(spark):
     assert merged == [(1, 0, 6), (1, 9, 2), (2, 0, 2), (2, 3, 3)]
 
 
+def test_scans_of_hot_keys(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k) if k < 4 else None, int(o), i, None if v < 3 else int(v)) for i, (k, o, v) in enumerate(zip(rng.choice([0, 0, 0, 0, 0, 1, 2, 4], 900), rng.integers(0, 400, 900), rng.integers(0, 9, 900)))]
+    df = spark.createDataFrame(rows, "k long, o long, i long, v long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        scan = Scan.over(df, ["k"], ["o", "i"])
+        assert scan.df.where("k = 0").select("__slice").distinct().count() > 1
+        got = scan.running("total", F.col("v"), "sum").running("before", F.col("v"), "max", with_own=False).running("seen", F.col("v"), "last").rows().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 900
+    state = {}
+    for r in sorted(got, key=lambda r: (r.o, r.i)):
+        total, high, last = state.get(r.k, (None, None, None))
+        assert r.before == high
+        if r.v is not None:
+            total, high, last = (total or 0) + r.v, max(high if high is not None else r.v, r.v), r.v
+        state[r.k] = total, high, last
+        assert (r.total, r.seen) == (total, last)
+
+
 def test_streams(spark, tmp_path):
     from voxloom.streaming.chunks import time_chunks, upsert_stream
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.grid import NestedGrid, Region, div, linear_index
-from voxloom.plans.scratch import stored
+from voxloom.operators.scans import Scan
 
 
 @dataclass(frozen=True)
@@ -131,12 +131,9 @@ class TensorFrame:
         inner = [c for level in range(self.grid.top - 1, -1, -1) for c in reversed(self.grid.relative(pos, 0, level))] or [F.lit(0)]
         placed = rows.withColumn("__in", F.row_number().over(Window.partitionBy(*k).orderBy(*inner)))
         counts = rows.groupBy(*k).agg(F.count(F.lit(1)).alias("__n"))
-        ranges = stored(counts.repartitionByRange(*[F.col(c) for c in reversed(k)]).withColumn("__slice", F.spark_partition_id()), "nested-order")
-        sums = ranges.groupBy("__slice").agg(F.sum("__n").alias("__n"))  # a row for each partition
-        upto = sums.select(F.col("__slice"), F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-        before = Window.partitionBy("__slice").orderBy(*reversed(k)).rowsBetween(Window.unboundedPreceding, -1)
-        bases = ranges.withColumn("__within", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(F.broadcast(upto), "__slice")
-        bases = bases.select(*k, (F.col("__before") + F.col("__within")).alias("__base"))
+        # one key for all blocks: their scan is spread over ranges
+        scan = Scan.over(counts.withColumn("__all", F.lit(0)), ["__all"], list(reversed(k))).running("__base", F.col("__n"), "sum", with_own=False)
+        bases = scan.rows().select(*k, F.coalesce("__base", F.lit(0)).alias("__base"))
         return placed.join(bases, k).select(*g, (F.col("__base") + F.col("__in")).cast("long").alias(rank))
 
     def shard_coverage(self, requests: DataFrame) -> DataFrame:
