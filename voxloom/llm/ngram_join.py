@@ -273,9 +273,15 @@ def _pair(x: str, y: str) -> list[Column]:
 _LINKED = "180 * common >= 80 * (na + nb)"
 
 
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, root of the components after more links (a, b): the earlier components count as stars."""
+    if roots is not None:
+        links = links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return components(links, "a", "b")
+
+
 def _links(postings: DataFrame, sets: DataFrame) -> DataFrame | None:
     """node, root of all linked sets; None without any link."""
-    links: DataFrame | None = None
     known: DataFrame | None = None
     roots: DataFrame | None = None
     lists = postings.withColumns({"root": F.col("sid"), "hub": F.lit(0.0)})
@@ -293,10 +299,9 @@ def _links(postings: DataFrame, sets: DataFrame) -> DataFrame | None:
         done = stash(_compared(pairs, sets), "compared")
         known = done if known is None else known.union(done)
         found = done.where(_LINKED).select("a", "b")
-        links = found if links is None else links.union(found)
         if found.isEmpty():
             break
-        roots = components(links, "a", "b")
+        roots = _joined(roots, found)
         similar = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
         hubs = known.select(F.explode(F.array("a", "b")).alias("s"), similar.alias("j")).groupBy("s").agg(F.avg("j").alias("hub"))
         lists = postings.join(roots, F.col("sid") == F.col("node"), "left").join(hubs, F.col("sid") == F.col("s"), "left")
@@ -322,7 +327,7 @@ def _links(postings: DataFrame, sets: DataFrame) -> DataFrame | None:
     sure = derived.where("linked").select("a", "b")
     if sure.isEmpty() and rest.isEmpty():
         return roots
-    return components(links.union(sure).union(rest), "a", "b")
+    return _joined(roots, sure.union(rest))
 
 
 def derive(pairs: DataFrame, known: DataFrame) -> DataFrame:
