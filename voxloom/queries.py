@@ -524,7 +524,7 @@ def event_time_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored(spark: SparkSession, chunks: DataFrame, dataset: Dataset, name: str) -> str:
     folder = shared_folder(spark, name)
     Container(folder, create=True).create_dataset("data", dataset)
-    write_chunks(chunks, folder, "data")
+    write_chunks(chunks, folder, "data", staged=False)  # the tables don't depend on the container
     return folder
 
 

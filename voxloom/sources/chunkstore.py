@@ -476,9 +476,15 @@ def _clear(folder: str) -> None:
     fs.delete_dir(path)
 
 
-def write_chunks(df: DataFrame, uri: str, group: str, order: str | None = None, names: CodecNames = CodecNames()) -> tuple[int, int]:
-    """Writes chunk rows (g0.., size, data) over those stored; of rows for one chunk the last by ``order`` stays."""
-    _, folder = stage_changes(df.select(*_position_names(df), "size", "data", *([order] if order else [])), "writes")
+def write_chunks(df: DataFrame, uri: str, group: str, order: str | None = None, names: CodecNames = CodecNames(), staged: bool = True) -> tuple[int, int]:
+    """Writes chunk rows (g0.., size, data) over those stored; of rows for one chunk the last by ``order`` stays.
+
+    Rows that come from elsewhere, and come out alike when they are computed again, needn't be
+    written down first: ``staged=False`` saves that."""
+    rows = df.select(*_position_names(df), "size", "data", *([order] if order else []))
+    if not staged:
+        return apply_changes(rows, uri, group, order, names)
+    _, folder = stage_changes(rows, "writes")
     return apply_staged(df.sparkSession, folder, uri, group, order, names)
 
 
