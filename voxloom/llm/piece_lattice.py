@@ -209,7 +209,7 @@ class Lattice:
         more than ``n`` times, which is all that ``n`` paths need; so ties cost nothing."""
         forward = self.forward[:, segment].tolist()
         length = len(forward) - 1
-        score = [s[:, segment] for s in self.score]
+        score, pieces = [s[:, segment].tolist() for s in self.score], [p[:, segment].tolist() for p in self.piece]
         # edges that end at each place, made when it is first reached
         edges: dict[int, list[tuple[int, int, float]]] = {}
         left = [0] * (length + 1)
@@ -223,14 +223,18 @@ class Lattice:
                 while path:
                     begin, k, path = path
                     steps.append((begin, k))
-                begins, sizes = np.array(steps, np.int64).reshape(-1, 2).T
-                out.append((total, self.ids(begins, np.full(len(begins), segment), sizes)[0]))
+                found = [pieces[k - 1][begin] for begin, k in steps]
+                if min(found, default=0) >= 0:
+                    out.append((total, np.array(found, np.uint32)))
+                else:
+                    begins, sizes = np.array(steps, np.int64).T
+                    out.append((total, self.ids(begins, np.full(len(begins), segment), sizes)[0]))
                 continue
             if left[at] == n:
                 continue
             left[at] += 1
             if at not in edges:
-                edges[at] = [(at - k, k, float(score[k - 1][at - k])) for k in range(1, min(at, len(score)) + 1) if score[k - 1][at - k] > -np.inf]
+                edges[at] = [(at - k, k, score[k - 1][at - k]) for k in range(1, min(at, len(score)) + 1) if score[k - 1][at - k] > -np.inf]
             for begin, k, value in edges[at]:
                 if left[begin] < n:
                     pushed += 1
