@@ -117,15 +117,17 @@ def _shared_shingles(df: DataFrame, text_col: str, words: int, seed: int, bucket
     bits = buckets.bit_length() - 1
     rest = -(-(64 - bits) // 8)
     shared = df.sparkSession.sparkContext.broadcast((heavy_keys, heavy_seen))
-    u64, names = np.uint64, ["bucket", "heavy", "sids", "sizes", "runs", "keys", "seen"]
-    schema = "bucket int, heavy boolean, sids binary, sizes binary, runs binary, keys binary, seen binary"
+    u64, names = np.uint64, ["bucket", "heavy", "sids", "runs", "keys", "seen", "owners", "sizes"]
+    schema = "bucket int, heavy boolean, sids binary, runs binary, keys binary, seen binary, owners binary, sizes binary"
 
-    def packed(bucket: np.ndarray, heavy: bool, sid: np.ndarray, n: np.ndarray, key: np.ndarray, seen: np.ndarray | None) -> pa.RecordBatch:
-        """One row per bucket: its sets as runs, and their keys. Entries come sorted by bucket, then set."""
+    def packed(bucket: np.ndarray, heavy: bool, sid: np.ndarray, key: np.ndarray, seen: np.ndarray | None) -> pa.RecordBatch:
+        """One row per bucket: its sets as runs of up to 255 keys, and the keys. Entries come sorted by bucket, then set."""
         new = np.ones(len(sid), bool)
         new[1:] = (sid[1:] != sid[:-1]) | (bucket[1:] != bucket[:-1])
+        at = np.arange(len(sid))
+        new |= (at - np.maximum.accumulate(np.where(new, at, 0))) % 255 == 0
         heads = np.flatnonzero(new)
-        runs = np.diff(np.append(heads, len(sid))).astype(np.uint32)
+        runs = np.diff(np.append(heads, len(sid))).astype(np.uint8)
         first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
         cuts = np.append(first, len(bucket))
         run_cuts = np.searchsorted(heads, cuts)
@@ -134,21 +136,30 @@ def _shared_shingles(df: DataFrame, text_col: str, words: int, seed: int, bucket
                 pa.array(bucket[first].astype(np.int32)),
                 pa.array([heavy] * len(first), pa.bool_()),
                 _binary(sid[heads], run_cuts),
-                _binary(n[heads].astype(np.uint32), run_cuts),
                 _binary(runs, run_cuts),
                 _binary(key, cuts),
                 _binary(seen.astype(np.uint32), cuts) if seen is not None else pa.nulls(len(first), pa.binary()),
+                *[pa.nulls(len(first), pa.binary())] * 2,
             ],
             names,
         )
 
-    def opened(table: pa.Table) -> tuple[np.ndarray, ...]:
-        def joined(name: str, kind: type) -> np.ndarray:
-            parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column(name) if x.is_valid]
-            return np.concatenate(parts) if parts else np.zeros(0, kind)
+    def sized(sid: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Sets and their sizes, one row per bucket of sets."""
+        home = (mix64(sid.view(u64)) & u64(buckets - 1)).astype(np.int32)
+        order = np.argsort(home, kind="stable")
+        home, sid, n = home[order], sid[order], n[order]
+        first = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+        cuts, none = np.append(first, len(home)), pa.nulls(len(first), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(home[first]), pa.array([True] * len(first)), none, none, none, none, _binary(sid, cuts), _binary(n.astype(np.uint32), cuts)], names)
 
-        runs = joined("runs", np.uint32)
-        return np.repeat(joined("sids", np.int64), runs), np.repeat(joined("sizes", np.uint32), runs), joined("keys", np.uint8), joined("seen", np.uint32)
+    def joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
+        parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column(name) if x.is_valid]
+        return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+    def opened(table: pa.Table) -> tuple[np.ndarray, ...]:
+        """(set, key bytes, count) of all entries."""
+        return np.repeat(joined(table, "sids", np.int64), joined(table, "runs", np.uint8)), joined(table, "keys", np.uint8), joined(table, "seen", np.uint32)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = set(), [], 0
@@ -157,21 +168,23 @@ def _shared_shingles(df: DataFrame, text_col: str, words: int, seed: int, bucket
         def flush() -> Iterator[pa.RecordBatch]:
             key = np.concatenate([x[2] for x in held])
             sizes = np.array([len(x[2]) for x in held])
-            sid, n = np.repeat(np.array([x[0] for x in held], np.int64), sizes), np.repeat(np.array([x[1] for x in held]), sizes)
+            own = np.array([x[0] for x in held], np.int64)
+            yield sized(own, np.array([x[1] for x in held]))
+            sid = np.repeat(own, sizes)
             at = np.minimum(np.searchsorted(often, key), max(0, len(often) - 1))
             is_heavy = often[at] == key if len(often) else np.zeros(len(key), bool)
             if is_heavy.any():
                 home = (mix64(sid[is_heavy].view(u64)) & u64(buckets - 1)).astype(np.int32)
                 order = np.argsort(home, kind="stable")
                 pick = np.flatnonzero(is_heavy)[order]
-                yield packed(home[order], True, sid[pick], n[pick], key[pick], often_seen[at[pick]])
+                yield packed(home[order], True, sid[pick], key[pick], often_seen[at[pick]])
             pick = np.flatnonzero(~is_heavy)
             bucket = (key[pick] >> u64(64 - bits)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             pick = pick[order]
             # the bucket gives the first bits; the bytes of the others follow
             low = (key[pick] << u64(bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :rest]
-            yield packed(bucket[order], False, sid[pick], n[pick], np.ascontiguousarray(low).view(f"V{rest}").ravel(), None)
+            yield packed(bucket[order], False, sid[pick], np.ascontiguousarray(low).view(f"V{rest}").ravel(), None)
 
         for part in _slices(batches, 0):
             values, offsets = shingle_sets(part.column(0), words)
@@ -190,7 +203,7 @@ def _shared_shingles(df: DataFrame, text_col: str, words: int, seed: int, bucket
 
     def count(table: pa.Table) -> pa.Table:
         """Of one bucket of shingles, those of two sets or more, sent to the buckets of their sets."""
-        sid, n, raw, _ = opened(table)
+        sid, raw, _ = opened(table)
         bucket = u64(table.column("bucket")[0].as_py())
         wide = np.zeros((len(sid), 8), np.uint8)
         wide[:, :rest] = raw.reshape(-1, rest)
@@ -200,33 +213,36 @@ def _shared_shingles(df: DataFrame, text_col: str, words: int, seed: int, bucket
         same[1:-1] = key[order[1:]] == key[order[:-1]]
         order = order[same[1:] | same[:-1]]
         order = order[np.lexsort((sid[order], key[order]))]
-        sid, n, key = sid[order], n[order], key[order]
+        sid, key = sid[order], key[order]
         new = np.ones(len(key), bool)  # copies of a set come from several tasks
         new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-        sid, n, key = sid[new], n[new], key[new]
+        sid, key = sid[new], key[new]
         _, which, seen = np.unique(key, return_inverse=True, return_counts=True)
         seen = seen[which]
         two = seen > 1
-        sid, n, key, seen = sid[two], n[two], key[two], seen[two]
+        sid, key, seen = sid[two], key[two], seen[two]
         home = (mix64(sid.view(u64)) & u64(buckets - 1)).astype(np.int32)
         order = np.lexsort((sid, home))
-        return pa.Table.from_batches([packed(home[order], True, sid[order], n[order], key[order], seen[order])])
+        return pa.Table.from_batches([packed(home[order], True, sid[order], key[order], seen[order])])
 
     def gather(table: pa.Table) -> pa.Table:
         """Of one bucket of sets, those whose prefix reaches a shared shingle."""
-        sid, n, key, seen = opened(table)
+        sid, key, seen = opened(table)
         key = key.view(u64)
         order = np.lexsort((key, seen, sid))
-        sid, n, key = sid[order], n[order].astype(np.int64), key[order]
+        sid, key = sid[order], key[order]
         new = np.ones(len(sid), bool)
         new[1:] = (sid[1:] != sid[:-1]) | (key[1:] != key[:-1])
-        sid, n, key = sid[new], n[new], key[new]
+        sid, key = sid[new], key[new]
         heads = np.flatnonzero(np.append(True, sid[1:] != sid[:-1])) if len(sid) else np.zeros(0, np.int64)
         cuts = np.append(heads, len(sid))
-        first = n[heads] - np.diff(cuts)
-        able = first < prefix_length(n[heads])
+        owners, at = np.unique(joined(table, "owners", np.int64), return_index=True)
+        sid = sid[heads]
+        n = joined(table, "sizes", np.uint32)[at][np.searchsorted(owners, sid)].astype(np.int64)
+        first = n - np.diff(cuts)
+        able = first < prefix_length(n)
         rows = _binary(key, cuts).filter(pa.array(able))
-        return pa.table([pa.array(sid[heads][able]), pa.array(n[heads][able]), pa.array(first[able]), rows], ["sid", "n", "first", "keys"])
+        return pa.table([pa.array(sid[able]), pa.array(n[able]), pa.array(first[able]), rows], ["sid", "n", "first", "keys"])
 
     sent = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema)
 
