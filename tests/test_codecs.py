@@ -7,7 +7,7 @@ from voxloom.sources.codecs import Block
 
 HEADER = "00000003000000010000000200000003"
 RAW = "000100020003000400050006"
-#: Known payloads of the values 1 to 6 as 16-bit numbers.
+#: Fixed values of the format: payloads of the values 1 to 6 as 16-bit numbers.
 GOLDEN = {
     "raw": RAW,
     "bzip2": "425a6839314159265359023e0dd200000040007f002000310c010d31a87394337c5dc914e1424008f83748",
