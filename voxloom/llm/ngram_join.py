@@ -28,8 +28,8 @@ from voxloom.llm.scratch import partitions_for, stash
 from voxloom.llm.textcols import mix64, shingle_sets, utf8
 
 #: Texts are cut into sets in slices of so many bytes; a flush holds about so many shingles.
-SLICE_BYTES = 4 << 20
-FLUSH_SHINGLES = 2 << 20
+SLICE_BYTES = 2 << 20
+FLUSH_SHINGLES = 1 << 20
 #: Shingles in a bucket of the count, on average; there are as many buckets as that takes.
 BUCKET_SHINGLES = 1 << 20
 #: Bytes of a shingle in the shuffle, with its share of its set's row.

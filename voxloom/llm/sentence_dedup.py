@@ -25,10 +25,7 @@ RUN_WORDS = 24
 #: In every so many consecutive words there is a cut, so that a run has three sentences or more, and every
 #: passage of RUN_WORDS + 3 * CUT_WINDOW - 2 = 49 words holds a run that depends on the passage alone.
 CUT_WINDOW = 9
-SLICE_BYTES = 4 << 20
-#: Keys of words that a task remembers.
-_KNOWN_WORDS = 1 << 20
-_keys: dict[int, int] = {}
+SLICE_BYTES = 2 << 20
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -38,17 +35,10 @@ _CLOSING[[ord(c) for c in "\"')]"]] = True
 
 def _word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """A 64-bit key of each word: the first half of the MD5 digest of its bytes, A-Z lowered."""
-    found, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-    if len(_keys) > _KNOWN_WORDS:
-        _keys.clear()
-    out = np.empty(len(found), np.uint64)
-    low = LOWER[data]
-    for i, (h, a, b) in enumerate(zip(found.tolist(), start[at].tolist(), end[at].tolist(), strict=True)):
-        key = _keys.get(h)
-        if key is None:
-            key = _keys[h] = int.from_bytes(hashlib.md5(low[a:b].tobytes()).digest()[:8], "big")
-        out[i] = key
-    return out[which]
+    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    low = LOWER[data].tobytes()
+    digests = b"".join([hashlib.md5(low[a:b]).digest()[:8] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+    return np.frombuffer(digests, ">u8").astype(np.uint64)[which]
 
 
 def _sliding(x: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
