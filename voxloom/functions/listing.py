@@ -27,3 +27,11 @@ def any_entries(html: Column, directories: bool = False, styles: Sequence[str] =
         found = entries(html, style, directories)
         out = F.when(F.size(found) > 1, found).otherwise(out)
     return out
+
+
+def typed_entries(html: Column, style: str) -> Column:
+    """Names in a listing of one style, each with whether its own entry is that of a directory: one pass, however
+    long the listing. Of a directory's name the closing slash is left out."""
+    entry, directory = STYLES[style]
+    name = lambda found: F.regexp_replace(F.regexp_extract(found, entry, 1), "/$", "")
+    return F.transform(F.regexp_extract_all(html, F.lit(entry), 0), lambda found: F.struct(name(found).alias("entry"), found.rlike(directory).alias("is_group")))

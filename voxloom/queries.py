@@ -497,7 +497,7 @@ def listing_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_nationkey, c_name AS entry, c_acctbal < 0 AS is_group FROM customer")
 def listing_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A listing of each nation's customers, in one of three server styles; customers in debt are directories."""
+    """Listings of each nation's customers, those of 25,000 keys in each, in one of three server styles; customers in debt are directories."""
     styles, group = sorted(listing.STYLES), F.col("c_acctbal") < 0
     style = F.element_at(F.array(*map(F.lit, styles)), (F.col("c_nationkey") % 3 + 1).cast("int"))
     lines = {
@@ -506,11 +506,10 @@ def listing_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "python": F.concat(F.lit('<li><a href="'), "c_name", F.when(group, F.lit('/">')).otherwise('">'), "c_name", F.when(group, F.lit("/</a></li>")).otherwise("</a></li>")),
     }
     line = F.coalesce(*[F.when(style == n, x) for n, x in lines.items()])
-    pages = table(spark, sf_dir, "customer").select("c_nationkey", style.alias("style"), line.alias("line")).groupBy("c_nationkey", "style").agg(F.array_join(F.collect_list("line"), "").alias("html"))
-    pick = lambda directories: F.coalesce(*[F.when(F.col("style") == n, listing.entries(F.col("html"), n, directories)) for n in styles])
-    found = pages.select("c_nationkey", F.explode(pick(False)).alias("entry"), pick(True).alias("groups"))
-    name = F.regexp_replace("entry", "/$", "")
-    return found.select("c_nationkey", name.alias("entry"), F.array_contains("groups", name).alias("is_group"))
+    lot = F.call_function("div", F.col("c_custkey"), F.lit(25_000))
+    pages = table(spark, sf_dir, "customer").select("c_nationkey", style.alias("style"), lot.alias("lot"), line.alias("line")).groupBy("c_nationkey", "style", "lot").agg(F.array_join(F.collect_list("line"), "").alias("html"))
+    found = F.coalesce(*[F.when(F.col("style") == n, listing.typed_entries(F.col("html"), n)) for n in styles])
+    return pages.select("c_nationkey", F.inline(found))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
