@@ -59,6 +59,17 @@ def test_get_set_remove():
     assert attrs.dumps({"a": None}, keep_nulls=True) == '{"a":null}'
 
 
+def test_paths_are_read_once(monkeypatch):
+    # not again for each row and step: this was most of the time of an edit
+    calls, tokens = [], attrs.path_tokens
+    monkeypatch.setattr(attrs, "path_tokens", lambda path: calls.append(path) or tokens(path))
+    for n in range(50):
+        root = attrs.set_value(None, "read/once[1]/only", n)
+        assert root == {"read": {"once": [None, {"only": n}]}} and attrs.get(root, "read/once[1]/only") == n
+        assert attrs.remove(root, "read/once[1]/only") == ({"read": {"once": [None, {}]}}, n, True)
+    assert calls == ["read/once[1]/only"]
+
+
 def test_types():
     for node, kind in ((None, None), (True, "boolean"), (0, "long"), (-4.0, "long"), (0.25, "double"), ("", "string"), ({}, "object"), ([], "object[]"), ([True, False], "boolean[]"), ([[1], [2]], "long[][]")):
         assert attrs.type_of(node) == kind
@@ -110,3 +121,19 @@ def test_addresses():
 def test_versions():
     assert Version.parse("1.2.3-x") == Version(1, 2, 3, "-x") and Version.parse("2") == Version(2) and Version.parse(None) == Version(0)
     assert CURRENT.is_compatible(Version(4, 9)) and not CURRENT.is_compatible(Version(5)) and str(Version(1, 2, 3, "-x")) == "1.2.3-x"
+
+
+def test_removals_of_one_text(spark):
+    texts = ["", None, "no json", '{"a":[1,{"b":null,"z":"null"}],"c":2.0,"n":null}', "[1,2.5]", "7", '{"[0]":{"é":1},"a":[[5]]}']
+    df, t = spark.createDataFrame([(x,) for x in texts], "t string"), F.col("t")
+    paths = {"one": ["a[0]"], "two": ["a[0]", "a[0]"], "key": ["[0]/é", "[0]"], "none": [], "all": ["c", "/"]}
+    for keep in (False, True):
+        for r in df.select("t", attrs.remove_columns(t, paths, keep).alias("r"), *[attrs.remove_column(t, p[0], keep).alias(n) for n, p in paths.items() if len(p) == 1]).collect():
+            node = attrs._node(r.t)
+            assert r.one == r.r.one
+            for name, each in paths.items():
+                left = node
+                for path in each:
+                    left = attrs.remove(left, path)[0]
+                assert r.r[name] == (None if left is None else attrs.dumps(left, keep))
+    assert df.select(attrs.remove_columns(t, paths).alias("r")).where("t like '{\"a%'").first()[0]["none"] == '{"a":[1,{"z":"null"}],"c":2.0}'

@@ -389,11 +389,8 @@ def attr_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attr_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes removed from JSON texts: members at any depth, elements whose followers move up, and what isn't there."""
     text = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"a":['), F.col("event_id").cast("string"), F.lit(',{"x":'), F.col("user_id").cast("string"), F.lit(',"y":2}]}'))
-    e, j = table(spark, sf_dir, "events").select("event_id", text.alias("j")), F.col("j")
-    return e.select(
-        "event_id", attrs.remove_column(attrs.remove_column(j, "a[1]/x"), "k").alias("inner_gone"), attrs.remove_column(j, "/a[0]").alias("moved_up"),
-        attrs.remove_column(j, "a").alias("top_gone"), attrs.remove_column(j, "a[7]/x").alias("unchanged"),
-    )
+    left = attrs.remove_columns(text, {"inner_gone": ["a[1]/x", "k"], "moved_up": ["/a[0]"], "top_gone": ["a"], "unchanged": ["a[7]/x"]})
+    return table(spark, sf_dir, "events").select("event_id", left.alias("left")).select("event_id", "left.*")
 
 
 @query("""SELECT event_id, name, kind FROM (SELECT event_id, unnest(['k', 's', 'n', 'l', 'o']) AS name, unnest(['long', 'string', NULL, CASE WHEN value = floor(value) THEN 'long[]' ELSE 'double[]' END, 'object']) AS kind FROM events)""")
